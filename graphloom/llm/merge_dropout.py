@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.token_orc import WordMemory
+from graphloom.llm.token_orc import WordMemory, flat
 
 DROPOUT = 0.1
 VARIANTS = 4
+MEMORY_UNITS = 200_000
 SEED = 20240229
 BLANK = "▁"
 _UNIT = re.compile(r" *[^ ]+| +")
@@ -139,21 +140,21 @@ class Encoder:
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.pieces, self.seed, self.variants = pieces(path), seed, variants if dropout > 0 else 1
         keys = [tk.mix_int(seed * 1000 + v) for v in range(self.variants)]
-        self.memory = [WordMemory(lambda new, k=k: self.pieces.segment(new, dropout, k)) for k in keys]
+        self.memory = [WordMemory(lambda new, k=k: flat(self.pieces.segment(new, dropout, k)), MEMORY_UNITS) for k in keys]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's ids."""
         # The model puts a blank before a text; an empty one has no pieces.
         units = [_UNIT.findall(" " + t) if t else [] for t in texts]
         counts = np.array(list(map(len, units)), np.int64)
-        flat = [u for own in units for u in own]
+        every = [u for own in units for u in own]
         names = np.repeat(np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64), counts)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
         variant = (tk.mix(tk.mix(names ^ np.uint64(self.seed & 0xFFFFFFFF)) + place.astype(np.uint64)) % np.uint64(self.variants)).astype(np.int64)
-        found, lengths = [], np.zeros(len(flat), np.int64)
+        found, lengths = [], np.zeros(len(every), np.int64)
         for v in range(self.variants):
             at = np.flatnonzero(variant == v)
-            ids, lengths[at] = self.memory[v].look_up([flat[k] for k in at])
+            ids, lengths[at] = self.memory[v].look_up([every[k] for k in at])
             found.append((at, ids))
         ends = np.cumsum(lengths)
         out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
@@ -165,9 +166,15 @@ class Encoder:
         return out, total[stop] - total[stop - counts]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, dropout: float, seed: int) -> Encoder:
+    """Kept by the Python worker from task to task."""
+    return Encoder(path, dropout, seed)
+
+
 def _encode(path: str, dropout: float, seed: int):
     def run(batches):
-        encoder = Encoder(path, dropout, seed)
+        encoder = _encoder(path, dropout, seed)
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch.column("text"), 1_000_000):
                 raw = data.tobytes()

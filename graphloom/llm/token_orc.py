@@ -5,7 +5,7 @@ integer columns are run-length encoded, with an index entry every ``row_index``
 Readers take stripes in parallel and skip those whose statistics or filters rule a doc_id out.
 
 Words between ASCII blanks are encoded once per worker and remembered: the tokenizer neither joins nor looks
-beyond white space, so the ids of a text are those of its words in order. The memory is bounded and then emptied.
+beyond white space, so the ids of a text are those of its words in order. The memory is bounded.
 
 Defined results. Null or empty text: the end id alone. Rows that share a doc_id stand in order of their texts;
 a null doc_id stands first. Repeated rows are each written. An empty table gives no rows. Columns other than doc_id
@@ -26,7 +26,7 @@ from graphloom.llm import textkit as tk
 from graphloom.llm.common import new_path
 
 END = 2
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 800_000
 
 
 @lru_cache(maxsize=1)
@@ -40,43 +40,37 @@ def _tokenizer(path: str):
 
 
 class WordMemory:
-    """Ids of words: word -> index into flat arrays of ids, starts and lengths."""
+    """Ids of words in flat arrays. The first ``limit`` different words are kept, others are encoded when they come."""
 
-    def __init__(self, encode):
-        self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self, encode, limit: int = MEMORY_WORDS):
+        self.encode, self.limit = encode, limit
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.lengths, self.used = np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.index) + len(new) > MEMORY_WORDS:
-            self.clear()
-        ids = self.encode(new)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+    def _put(self, new: list[str]) -> dict[str, int]:
+        """Writes the ids of new words behind all others; where they are, if they are not kept."""
+        ids, lengths = self.encode(new)
         n = len(self.index)
         while n + len(new) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + len(flat) > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
+        self.ids[self.used : self.used + len(ids)] = ids
         self.lengths[n : n + len(new)] = lengths
         self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
-        self.used += len(flat)
+        at = dict(zip(new, range(n, n + len(new)), strict=True))
+        if n + len(new) > self.limit:
+            return at
+        self.index.update(at)
+        self.used += len(ids)
+        return {}
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and the number of each word's ids."""
         at = list(map(self.index.get, words))
         if None in at:
-            new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
-            size = len(self.index)
-            self.learn(new)
-            if len(self.index) != size + len(new):  # it was emptied: what was known is needed again
-                self.learn([w for w in dict.fromkeys(words) if w not in self.index])
-            at = list(map(self.index.__getitem__, words))
+            passing = self._put(list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None)))
+            at = [passing[w] if k is None else k for w, k in zip(words, at, strict=True)] if passing else list(map(self.index.__getitem__, words))
         at = np.array(at, np.int64)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
@@ -84,10 +78,36 @@ class WordMemory:
         return self.ids[take], lengths
 
 
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
+
+
+class WordEncoder:
+    """Encodes many words in one text, with a special token between them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.name, self.mark = next(((t.content, i) for i, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized), (None, None))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.mark is None or any(self.name in w for w in words):
+            return flat([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        texts = [self.name + f" {self.name} ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(np.append(marks, len(ids))) - 1
+
+
+@lru_cache(maxsize=1)
+def _memory(path: str) -> WordMemory:
+    """Kept by the Python worker from task to task."""
+    return WordMemory(WordEncoder(_tokenizer(path)))
+
+
 def _encode(path: str, end: int):
     def run(batches):
-        tokenizer = _tokenizer(path)
-        memory = WordMemory(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        memory = _memory(path)
         position = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
