@@ -56,7 +56,12 @@ class Pieces:
         known = {names[i]: i for i in normal}
         for i in normal:
             self.bytes[i] = names[i].replace(BLANK, " ").encode()
-        self.char_ids = {(" " if c == BLANK else c): i for c, i in known.items() if len(c) == 1}
+        # Piece by code point; a character without a piece takes part as the negative of its code point.
+        self.of_char = -2 - np.arange(0x110000, dtype=np.int64)
+        for c, i in known.items():
+            if len(c) == 1:
+                self.of_char[32 if c == BLANK else ord(c)] = i
+        self.of_char[ord(BLANK)] = -2 - ord(BLANK)
         if any(BLANK in p.lstrip(BLANK) for p in known):
             raise ValueError("the model has pieces with a blank after another character")
         order = {i: r for r, i in enumerate(sorted(normal, key=lambda i: (-model.get_score(i), i)))}
@@ -83,8 +88,7 @@ class Pieces:
         lengths = np.array(list(map(len, units)))
         width = int(lengths.max())
         ids = np.full((len(units), width), -1, np.int64)
-        # A character without a piece takes part as the negative of its code point.
-        ids[np.arange(width) < lengths[:, None]] = [self.char_ids.get(c, -2 - ord(c)) for u in units for c in u]
+        ids[np.arange(width) < lengths[:, None]] = self.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         begin = np.where(np.arange(width) < lengths[:, None], np.arange(width), lengths[:, None])
         name = tk.mix(np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in units], np.uint64) ^ np.uint64(key))
         result: list[list[int]] = [[]] * len(units)
@@ -105,8 +109,11 @@ class Pieces:
                 goes = rank[np.arange(len(rows)), best] < _FAR
             else:
                 goes = np.zeros(len(rows), bool)
-            for k in np.flatnonzero(~goes):
-                result[rows[k]] = self._with_bytes(ids[k])
+            if not goes.all():
+                ended = ids[~goes]
+                own, stop = ended[ended != -1].tolist(), np.cumsum((ended != -1).sum(axis=1)).tolist()
+                for row, lo, hi, odd in zip(rows[~goes].tolist(), [0, *stop], stop, (ended < -1).any(axis=1).tolist(), strict=False):
+                    result[row] = self._with_bytes(own[lo:hi]) if odd else own[lo:hi]
             if not goes.any():
                 break
             to = self.merged[at[goes, best[goes]]]
@@ -119,11 +126,8 @@ class Pieces:
             ids, begin = ids[:, :used], begin[:, :used]
         return result
 
-    def _with_bytes(self, ids: np.ndarray) -> list[int]:
-        own = ids[ids != -1].tolist()
-        if min(own, default=0) >= 0:
-            return own
-        return [i for x in own for i in ([x] if x >= 0 else self.byte_ids[list(chr(-2 - x).encode("utf-8", "surrogatepass"))].tolist())]
+    def _with_bytes(self, ids: list[int]) -> list[int]:
+        return [i for x in ids for i in ([x] if x >= 0 else self.byte_ids[list(chr(-2 - x).encode("utf-8", "surrogatepass"))].tolist())]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
