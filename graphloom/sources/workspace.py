@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that are ignored without being asked for.
-IGNORED = [".git", "__pycache__", "venv", ".venv", "env", "node_modules", ".idea", ".vscode", "build", "dist", ".mypy_cache", ".pytest_cache"]
+IGNORED = [".git", ".cursor", ".venv", "venv", "env", "__pycache__", "node_modules", ".pytest_cache", ".mypy_cache", "build", "dist", ".*"]
 
 
 def ignore_patterns(root: str) -> list[str]:
@@ -17,7 +17,7 @@ def ignore_patterns(root: str) -> list[str]:
     try:
         with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
             own = [line.strip() for line in f]
-    except OSError:
+    except (OSError, UnicodeDecodeError):
         own = []
     return sorted({*IGNORED, *(x.rstrip("/") for x in own if x and not x.startswith("#"))})
 
