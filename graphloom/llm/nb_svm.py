@@ -16,6 +16,8 @@ gives an empty result. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -71,27 +73,30 @@ def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray, smooth: float
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, values: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear model with hinge loss; row i has values[rows[i]] scaled to length 1, and a constant 1."""
-    w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(rows))
-    x = [values[r] for r in rows]
-    x = [v / max(1e-9, np.sqrt(v @ v)) for v in x]
+    """Weights and bias of a linear model with hinge loss; row i has values[rows[i]] scaled to length 1, and a constant 1.
+
+    A weight is only ever used times its column's value, so that product is what is kept, and no scaled copy of the rows.
+    """
+    product, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(rows))
+    squares = values * values
+    scale = np.array([1 / max(1e-9, np.sqrt(squares[r].sum())) for r in rows])
     share = max(1e-9, (y > 0).mean()), max(1e-9, (y < 0).mean())
     most = np.where(y > 0, c * min(1.0, share[1] / share[0]) ** 0.5, c * min(1.0, share[0] / share[1]) ** 0.5)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ x[i] + bias) - 1
+            gradient = y[i] * (product[rows[i]].sum() * scale[i] + bias) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), most[i])  # the row's squared length is 2 with the constant
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * x[i]
+                product[rows[i]] += step * scale[i] * squares[rows[i]]
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w * values, bias
+    return product, bias
 
 
 def _featurise(batches):
@@ -127,11 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     chosen = F.broadcast(sample_labels(labels, label, max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     taught = texts.select("text", "label").mapInArrow(_featurise, "label int, columns array<int>").limit(2 * max_rows).toArrow()
-    flat, offsets = tk.list_parts(taught.column("columns").combine_chunks()) if taught.num_rows else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-    rows = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    # Views of what arrived: the rows are the driver's largest data, and there is one copy of them.
+    rows = []
+    for chunk in taught.column("columns").chunks:
+        flat, offsets = tk.list_parts(chunk)
+        rows += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     positive = taught.column("label").to_numpy() == 1
     # One order whatever the partitions were.
-    order = sorted(range(len(rows)), key=lambda k: (bool(positive[k]), len(rows[k]), rows[k].tobytes()))
+    order = sorted(range(len(rows)), key=lambda k: (bool(positive[k]), len(rows[k]), hashlib.blake2b(rows[k], digest_size=16).digest()))
     rows, positive = [rows[k] for k in order], positive[order]
     if not len(rows) or positive.all() or not positive.any():
         known = 0.0 if not len(rows) else 10.0 if positive.all() else -10.0
