@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
 from graphloom.jobs.queries import query
 from graphloom.jobs.tables import read
 from graphloom.operators import resolve as R
 from graphloom.sources import python_source as P
+from graphloom.sources import skeleton as K
 
 _PATH = "lower(replace(p_brand, '#', '_')) || '/block_' || CAST(p_partkey // 200 AS VARCHAR) || '.py'"
 #: Five lines a part after two lines of head: class, docstring, method, its body, constant.
@@ -53,3 +55,16 @@ def source_absolute_imports(spark, d):
     """No file here is called os, so each of these imports leads outside."""
     parsed = P.parse(sources(spark, d))
     return R.absolute_imports(P.imported_names(parsed), P.modules(parsed))
+
+
+@query(f"""WITH {_PARTS}, s AS (SELECT path || '::P' || k AS node_id, concat_ws(chr(10), 'Type: CLASS', 'Name: P' || k, 'Doc: ' || title) AS text,
+  concat_ws(chr(10), 'Type: CLASS', 'Name: P' || k, 'Inherits: Base' || (k % 7), 'Docstring: ' || title, 'Methods:', '  - def make(self, n)', 'Calls: helper_' || (k % 5) || ', len', 'File: ' || path) AS skeleton FROM parts
+UNION ALL SELECT path || '::P' || k || '.make', concat_ws(chr(10), 'Type: FUNCTION', 'Name: make', 'Class: P' || k),
+  concat_ws(chr(10), 'Signature: def make(self, n)', 'Class: P' || k, 'Calls: helper_' || (k % 5) || ', len', 'Return expressions: helper_' || (k % 5) || '(len(n))', 'File: ' || path) FROM parts
+UNION ALL SELECT path || '::C' || k, 'Type: CONSTANT' || chr(10) || 'Name: C' || k, 'Type: CONSTANT' || chr(10) || 'Name: C' || k FROM parts)
+SELECT node_id, skeleton, CASE WHEN text = skeleton THEN text ELSE text || chr(10) || chr(10) || skeleton END AS passage FROM s""")
+def semantic_skeleton(spark, d):
+    own = P.entities(P.parse(sources(spark, d)))
+    own = own.withColumn("text", T.embedding_text(F.col("type"), F.col("name"), F.col("class_name"), F.array().cast("array<string>"), F.col("doc")))
+    parts = [F.col(c) for c in ("chunk", "text", "class_name", "file_path")]
+    return own.select("node_id", K.skeleton(*parts).alias("skeleton"), K.rerank_passage(*parts).alias("passage"))

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "rel_path string, kind string, ord int, name string, owner string, start_line int, end_line int, signature string, doc string, body_hash string, calls array<string>, bases array<string>, level int, module string"
-_ARROW = pa.schema([("rel_path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("doc", pa.string()), ("body_hash", pa.string()), ("calls", pa.list_(pa.string())), ("bases", pa.list_(pa.string())), ("level", pa.int32()), ("module", pa.string())])
+SCHEMA = "rel_path string, kind string, ord int, name string, owner string, start_line int, end_line int, signature string, doc string, body_hash string, chunk string, calls array<string>, bases array<string>, level int, module string"
+_ARROW = pa.schema([("rel_path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("doc", pa.string()), ("body_hash", pa.string()), ("chunk", pa.string()), ("calls", pa.list_(pa.string())), ("bases", pa.list_(pa.string())), ("level", pa.int32()), ("module", pa.string())])
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_LINE_END = re.compile(r"\r\n|\r|\n")
 
 
 def _name(node: ast.AST) -> str | None:
@@ -40,6 +42,14 @@ def _hash(node: ast.AST) -> str:
     return hashlib.sha1(ast.dump(bare).encode()).hexdigest()
 
 
+def _chunk(lines: list[str], node: ast.stmt) -> str:
+    """A statement's source, decorators left out; its columns count UTF-8 bytes."""
+    rows = [x.encode() for x in lines[node.lineno - 1 : node.end_lineno]]
+    rows[-1] = rows[-1][: node.end_col_offset]
+    rows[0] = rows[0][node.col_offset :]
+    return b"\n".join(rows).decode()
+
+
 def facts(source: str | None) -> list[dict]:
     try:
         tree = ast.parse(source)
@@ -47,10 +57,13 @@ def facts(source: str | None) -> list[dict]:
         return [{"kind": "ERROR", "doc": type(error).__name__}]
     plain = [x for x in tree.body if not isinstance(x, (*_DEFS, ast.ClassDef))]
     out = [{"kind": "FILE", "doc": ast.get_docstring(tree), "calls": _called(plain)}]
+    lines = _LINE_END.split(source)
     todo = [(x, None, True) for x in reversed(tree.body)]
     while todo:
         node, owner, outer = todo.pop()
         row = {"start_line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None)}
+        if isinstance(node, (*_DEFS, ast.ClassDef)) or isinstance(node, ast.Assign) and outer:
+            row["chunk"] = _chunk(lines, node)
         if isinstance(node, ast.ClassDef):
             out.append(row | {"kind": "CLASS", "name": node.name, "doc": ast.get_docstring(node), "bases": [b for x in node.bases if (b := _base(x))]})
             owner, outer = node.name, False
@@ -84,12 +97,12 @@ def _node_id() -> Column:
 
 
 def entities(parsed: DataFrame) -> DataFrame:
-    """Classes, functions and constants: node_id, type, name, file_path, class_name, is_method, lines, signature, doc, body_hash, ord."""
+    """Classes, functions and constants: node_id, type, name, file_path, class_name, is_method, lines, signature, doc, body_hash, chunk, ord."""
     own = parsed.filter(F.col("kind").isin("CLASS", "FUNCTION", "CONSTANT")).withColumn("node_id", _node_id())
-    rest = ["kind", "name", "rel_path", "owner", "start_line", "end_line", "signature", "doc", "body_hash"]
+    rest = ["kind", "name", "rel_path", "owner", "start_line", "end_line", "signature", "doc", "body_hash", "chunk"]
     last = own.groupBy("node_id").agg(F.max_by(F.struct(*rest), "ord").alias("x"), F.min("ord").alias("ord"))
     x = last.select("node_id", "x.*", "ord")
-    return x.select("node_id", F.col("kind").alias("type"), "name", F.col("rel_path").alias("file_path"), F.col("owner").alias("class_name"), F.col("owner").isNotNull().alias("is_method"), "start_line", "end_line", "signature", "doc", "body_hash", "ord")
+    return x.select("node_id", F.col("kind").alias("type"), "name", F.col("rel_path").alias("file_path"), F.col("owner").alias("class_name"), F.col("owner").isNotNull().alias("is_method"), "start_line", "end_line", "signature", "doc", "body_hash", "chunk", "ord")
 
 
 def calls(parsed: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import resolve as R
 from graphloom.sources import python_source as P
+from graphloom.sources import skeleton as K
 from graphloom.sources.workspace import scan
 
 FILES = {
@@ -61,3 +64,48 @@ def test_facts_of_odd_sources():
     assert one["body_hash"] == two["body_hash"] and one["doc"] != two["doc"]
     assert P.facts("def f(b):\n    return b\n")[1]["body_hash"] != one["body_hash"]
     assert P.facts("class A(B[int], c.D, e(), *f): pass")[1]["bases"] == ["B", "D", "e"]
+
+
+def test_chunks():
+    odd = P.facts('class A:\r\n    @f\r\n    def é(self): return "é"; x = 1\n')
+    assert [x["chunk"] for x in odd[1:]] == ['class A:\n    @f\n    def é(self): return "é"; x = 1', 'def é(self): return "é"; x = 1']
+
+
+FUNCTION = '''
+@cached
+def follow(self, resp, req, stream=False, **rest) -> Response:
+    """Follow redirects."""
+    place = resp.headers.get("Location")
+    for r in resp.history:
+        if not r.is_redirect:
+            continue
+        yield self.send(r, **rest)
+    a, (b, c) = place, (1, 2)
+    return resp
+'''
+CLASS = '''class Mixin(Base, Generic[T]):
+    """Redirects."""
+    LIMIT: int = 30
+
+    def follow(self, resp):
+        """One.
+        Two."""
+        return self.send(resp)
+
+    def target(self): return None
+'''
+
+
+def test_outlines():
+    assert K.outline(FUNCTION) == ["Signature: @cached", "Decorators: cached", "Docstring: Follow redirects.", "Return type: Response", "Calls: get, send", "Variables: a, place", "Yields: self.send(r, **rest)", "Return expressions: resp"]
+    assert K.outline(CLASS) == ["Type: CLASS", "Name: Mixin", "Inherits: Base, Generic[T]", "Docstring: Redirects.", "Attributes: LIMIT", "Methods:", "  - def follow(self, resp)  # One.", "  - def target(self)", "Calls: send"]
+    assert K.outline("def f():\n    return " + "a" * 90)[1] == "Return expressions: " + "a" * 77 + "..."
+    assert K.outline(None) == K.outline(" ") == K.outline("X = 1") == [] and K.outline("def (:") is None
+
+
+def test_skeletons_and_passages(spark):
+    given = [("def f(): return g()", "Type: FUNCTION", "C", "a.py"), ("def (:", " t ", None, "a.py"), (" def (: ", None, None, None), (None, "t", "C", "a.py"), ("X = 1", "", "C", ""), ("", None, None, None)]
+    df = spark.createDataFrame(given, "chunk string, text string, owner string, path string")
+    parts = [F.col(c) for c in df.columns]
+    whole = "Signature: def f()\nClass: C\nCalls: g\nReturn expressions: g()\nFile: a.py"
+    assert [tuple(r) for r in df.select(K.skeleton(*parts), K.rerank_passage(*parts)).collect()] == [(whole, f"Type: FUNCTION\n\n{whole}"), ("t", "t"), ("def (:", "def (:"), ("t", "t"), ("", ""), ("", "")]
