@@ -8,8 +8,7 @@ candidates are confirmed on the full sets, and links are closed to components by
 
 Equal sets are one set from the start, so groups of exact copies of any size cost one row in the join. No node is
 ever gathered beyond ``leaf`` sets, and nothing is left out: what is still large at the last level is compared in
-blocks of ``leaf`` and with pivots, and after that, on full sets, all of it with those that have not joined a large
-component.
+blocks of ``leaf`` and with pivots, and after that, on full sets, each of its components with all the others.
 
 Defined results. Null or empty text: an empty set, linked with nothing, kept. Fewer words than a shingle has: the
 whole sequence is one shingle. Repeated rows share a component and each is returned. A doc_id that occurs with
@@ -236,33 +235,58 @@ def _join_groups(percent: int):
     return run
 
 
+def _facing(members: DataFrame, mates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (doc_id, component_id) of pairs of components mates (key, mate) that may have a link to the pair's other component.
+
+    Sets that are similar enough share one of the rarest shingles of each, and neither is smaller than percent of the other:
+    a member that finds no such shingle of the other component, among sets of a fitting size, has no link there.
+    """
+    sides = mates.select("key", "mate", F.col("key").alias("component_id"), F.col("mate").alias("facing")).unionByName(mates.select("key", "mate", F.col("mate").alias("component_id"), F.col("key").alias("facing")))
+    own = written(members.join(sides.select("component_id").distinct(), "component_id", "left_semi").join(sets, "doc_id").select("doc_id", "component_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles-of-many")
+    ranked = own.join(own.groupBy("shingle").count(), "shingle").groupBy("doc_id", "component_id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("order"))
+    # n - ceil(n * percent / 100) + 1 of them, in whole numbers.
+    prefix = F.expr(f"slice(order, 1, cast(n - (n * {percent} + 99) div 100 + 1 as int))")
+    prefixes = written(ranked.select("doc_id", "component_id", "n", F.explode(prefix).alias("s")).select("doc_id", "component_id", "n", "s.shingle"), "prefixes")
+    there = prefixes.groupBy(F.col("component_id").alias("facing"), "shingle").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # Few components have a shingle among their members' rarest: they meet by shingle before their pairs are looked up.
+    met = prefixes.join(there, "shingle").filter(f"component_id != facing and 100 * n >= {percent} * least and 100 * most >= {percent} * n")
+    return met.select("doc_id", "component_id", "facing").distinct().join(sides, ["component_id", "facing"]).select("key", "mate", "doc_id", "component_id")
+
+
 def stragglers(nodes: DataFrame, sets: DataFrame, component: DataFrame, leaf: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of sets in nodes that stayed large and in components with few members there.
+    """Confirmed links (a, b) between the components of nodes that stayed large.
     nodes: node, doc_id; sets: doc_id, shingles; component: doc_id, component_id.
 
-    Such a set is compared on full sets with all of each component that has many members in the node, and with the node's
-    other stragglers. A component is met once, however many trees and nodes it fills. Both sides are dealt to parts of
-    some PART_SETS sets and PART_SHINGLES shingles; each two parts are a group of their own, so no group grows with the data.
+    A set whose component has few members in a node is compared on full sets with all of each component that has many
+    there, and with the node's other stragglers. Two components that both have many members in a node are compared with
+    each other, as far as ``_facing`` does not rule a member out. A component, or a pair of them, is met once, however many
+    trees and nodes it fills. Both sides are dealt to parts of some PART_SETS sets and PART_SHINGLES shingles; each two
+    parts are a group of their own, so no group grows with the data.
     """
     placed = written(nodes.select("node", "doc_id").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")), "placed")
     counts = written(placed.groupBy("node", "component_id").count(), "counts")
     rest = placed.join(counts.filter(F.col("count") <= leaf), ["node", "component_id"]).select("node", "doc_id", "component_id")
     many = counts.filter(F.col("count") > leaf).select("node", F.col("component_id").alias("key"))
-    within = rest.select(F.lit(True).alias("within"), F.col("node").alias("key"), "doc_id", "component_id")
-    against = rest.join(many, "node").select(F.lit(False).alias("within"), "key", "doc_id", "component_id").distinct()
-    members = placed.select("doc_id", "component_id").distinct().join(many.select(F.col("key").alias("component_id")).distinct(), "component_id")
-    members = members.select(F.lit(False).alias("within"), F.col("component_id").alias("key"), "doc_id", "component_id")
+    # key and mate: a node twice, a component twice, or two components, the lesser one first.
+    within = rest.select(F.lit(True).alias("within"), F.col("node").alias("key"), F.col("node").alias("mate"), "doc_id", "component_id")
+    against = rest.join(many, "node").select(F.lit(False).alias("within"), "key", F.col("key").alias("mate"), "doc_id", "component_id").distinct()
+    of_many = placed.select("doc_id", "component_id").distinct().join(many.select(F.col("key").alias("component_id")).distinct(), "component_id")
+    members = of_many.select(F.lit(False).alias("within"), F.col("component_id").alias("key"), F.col("component_id").alias("mate"), "doc_id", "component_id")
     rows = [side.withColumn("left", F.lit(left)) for side, left in ((within, True), (against, True), (within, False), (members, False))]
+    mates = written(many.join(many.withColumnRenamed("key", "mate"), "node").filter("key < mate").select("key", "mate").distinct(), "mates")
+    if not mates.isEmpty():
+        rows.append(_facing(of_many, mates, sets, percent).select(F.lit(False).alias("within"), "key", "mate", "doc_id", "component_id", (F.col("component_id") == F.col("key")).alias("left")))
     sized = sets.select("doc_id", F.size("shingles").alias("n"))
-    dealt = written(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).join(sized, "doc_id"), "dealt")
+    dealt = written(reduce(DataFrame.unionByName, rows).join(sized, "doc_id"), "dealt")
+    of_group = ["within", "key", "mate"]
     parts = F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
-    parts = written(dealt.groupBy("within", "key", "left").agg(parts.alias("parts")), "parts")
-    parts = parts.groupBy("within", "key").agg(F.max(F.when(F.col("left"), F.col("parts"))).alias("lefts"), F.max(F.when(~F.col("left"), F.col("parts"))).alias("rights")).filter("lefts is not null and rights is not null")
+    parts = written(dealt.groupBy(*of_group, "left").agg(parts.alias("parts")), "parts")
+    parts = parts.groupBy(*of_group).agg(F.max(F.when(F.col("left"), F.col("parts"))).alias("lefts"), F.max(F.when(~F.col("left"), F.col("parts"))).alias("rights")).filter("lefts is not null and rights is not null")
     mine, others = F.when(F.col("left"), F.col("lefts")).otherwise(F.col("rights")), F.when(F.col("left"), F.col("rights")).otherwise(F.col("lefts"))
-    numbered = dealt.join(parts, ["within", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    numbered = dealt.join(parts, of_group).withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     grouped = numbered.withColumn("x", F.when(F.col("left"), F.col("own")).otherwise(F.col("other"))).withColumn("y", F.when(F.col("left"), F.col("other")).otherwise(F.col("own")))
-    full = grouped.select("within", "key", "x", "y", "left", "doc_id", "component_id").join(sets, "doc_id")
-    return full.groupBy("within", "key", "x", "y").applyInArrow(_join_groups(percent), "a long, b long")
+    full = grouped.select(*of_group, "x", "y", "left", "doc_id", "component_id").join(sets, "doc_id")
+    return full.groupBy(*of_group, "x", "y").applyInArrow(_join_groups(percent), "a long, b long")
 
 
 def candidates(signatures: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame | None]:

@@ -68,6 +68,24 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert all(r.kept == (i == root(i)) for i, r in found.items())
 
 
+def test_large_components_of_a_large_node_meet(spark):
+    # Two families of 40 sets, each a component above leaf; sets 7 and 107 alone are at 0.8 across the families.
+    r, families = random.Random(4), {}
+    for first in (0, 100):
+        base = list(range(first * 1000, first * 1000 + 60))
+        for k in range(40):
+            families[first + k] = set(base) | {10**9 + r.randrange(10**8) for _ in range(5)}
+    families[7] = set(range(500, 560)) | set(range(40))
+    families[107] = set(range(500, 560)) | set(range(29)) | set(range(900, 911))
+    rows = [(i, sorted(s)) for i, s in families.items()]
+    near = [(i, j) for i in families for j in families if i < 100 <= j and 100 * len(families[i] & families[j]) >= 80 * len(families[i] | families[j])]
+    assert near == [(7, 107)]
+    sets = spark.createDataFrame(rows, "doc_id long, shingles array<long>")
+    component = spark.createDataFrame([(i, i // 100 * 100) for i in families], "doc_id long, component_id long")
+    nodes = spark.createDataFrame([(n, i) for i in families for n in (1, 2)], "node long, doc_id long")
+    assert [tuple(x) for x in chosen_path.stragglers(nodes, sets, component, 24, 80).collect()] == near
+
+
 def test_near_duplicates_edge_cases(spark, odd):
     rows = chosen_path.near_duplicates(odd, width=2).collect()
     assert len(rows) == len(TEXTS)
