@@ -34,7 +34,7 @@ COORDINATES = 64
 SECOND = 0.25
 #: Candidates agree on this share of coordinates at least; a pair at 0.8 falls short once in about 30,000 times.
 SIEVE = 0.6
-#: Closest candidates of a set in a node that are always confirmed; a smaller number loses links just at the threshold.
+#: Closest candidates of a set in a node that are confirmed before the others, which often are in one component by then.
 NEIGHBOURS = 3
 #: Ids of documents that may be broadcast: 8 bytes each, some 100 MB as a hash table.
 BROADCAST_IDS = 2_000_000
@@ -135,7 +135,7 @@ def _grow(trees: int):
 
 
 def _similar(batches):
-    """Candidate pairs of nodes (docs, sketches): a spanning forest of the closest ones (rank 0), and each set's next neighbours, NEIGHBOURS at least (rank 1)."""
+    """Candidate pairs of nodes (docs, sketches): a spanning forest of the closest ones (rank 0), each set's next neighbours, NEIGHBOURS at least (rank 1), and all others (rank 2)."""
     for batch in batches:
         a, b, rank = [], [], []
         for docs, sketches in zip(batch.column("docs").to_pylist(), batch.column("sketches").to_pylist(), strict=True):
@@ -154,13 +154,11 @@ def _similar(batches):
                 if tree:
                     old, new = group[y], group[x]
                     group = [new if g == old else g for g in group]
-                elif near[x] >= NEIGHBOURS and near[y] >= NEIGHBOURS:
-                    continue
-                near[x] += 1
-                near[y] += 1
                 a.append(min(docs[x], docs[y]))
                 b.append(max(docs[x], docs[y]))
-                rank.append(0 if tree else 1)
+                rank.append(0 if tree else 2 if near[x] >= NEIGHBOURS and near[y] >= NEIGHBOURS else 1)
+                near[x] += 1
+                near[y] += 1
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(rank, pa.int32())], ["a", "b", "rank"])
 
 
@@ -364,14 +362,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width, False), "doc_id long, set_id binary, shingles array<long>")
     if not unique_ids:
         sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = written(sets.select("doc_id", "shingles"), "sets")
-    # First the closest pairs; of the others only those that would still join two components.
+    sets = written(sets.select("doc_id", F.size("shingles").alias("n"), "shingles"), "sets")
+    sizes, sets = sets.select("doc_id", "n"), sets.select("doc_id", "shingles")
+    # First the closest pairs; of the others only those that would still join two components, and whose sizes allow a link.
     so_far = components(confirmed(pairs.filter("rank = 0"), sets, percent))
-    rest = pairs.filter("rank = 1").select("a", "b")
-    for end in "ab":
-        rest = rest.join(so_far.select(F.col("doc_id").alias(end), F.col("component_id").alias(f"c{end}")), end, "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    so_far = components(so_far.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(confirmed(rest, sets, percent)))
+    for rank in (1, 2):
+        rest = pairs.filter(F.col("rank") == rank).select("a", "b")
+        known = sizes.join(so_far, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
+        for end in "ab":
+            rest = rest.join(known.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("c").alias(f"c{end}")), end)
+        rest = rest.filter((F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        so_far = components(so_far.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(confirmed(rest, sets, percent)))
     if large is not None:
         late = written(stragglers(large, sets, so_far, leaf, percent), "late")
         if not late.isEmpty():

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,17 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert all(r.kept == (i == root(i)) for i, r in found.items())
 
 
+def test_all_candidates_of_a_small_node_are_kept():
+    # 12 sketches that agree on more than the sieve asks; the last two of them least of all.
+    sketches = np.zeros((12, chosen_path.COORDINATES), np.uint8)
+    sketches[10, :12], sketches[11, 12:24] = 1, 2
+    node = pa.record_batch([pa.array([list(range(12))]), pa.array([[x.tobytes() for x in sketches]], pa.list_(pa.binary()))], ["docs", "sketches"])
+    (out,) = chosen_path._similar([node])
+    pairs = {(a, b): rank for a, b, rank in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert set(pairs) == {(a, b) for b in range(12) for a in range(b)}
+    assert sum(rank == 0 for rank in pairs.values()) == 11 and pairs[10, 11] == 2
+
+
 def test_large_components_of_a_large_node_meet(spark):
     # Two families of 40 sets, each a component above leaf; sets 7 and 107 alone are at 0.8 across the families.
     r, families = random.Random(4), {}
