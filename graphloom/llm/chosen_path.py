@@ -48,13 +48,30 @@ _MUL = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
-def trees_for(recall: float, similarity: float = 0.8, depth: int = 5) -> int:
+def recall_of(trees: int, similarity: float, depth: int) -> float:
+    """Probability that a pair at the given similarity is a candidate, if leaves lie at that depth.
+
+    All trees branch on the same coordinates: the share of them that the pair agrees on varies, and it falls by the sieve or
+    holds for each tree alike.
+    """
+    found = 0.0
+    for same in range(COORDINATES + 1):
+        if same < SIEVE * COORDINATES:
+            continue
+        share, lost = same / COORDINATES, 0.0
+        for _ in range(depth):
+            one = 1 - share + share * lost
+            lost = (1 - SECOND) * one + SECOND * one * one
+        found += math.comb(COORDINATES, same) * similarity**same * (1 - similarity) ** (COORDINATES - same) * (1 - lost**trees)
+    return found
+
+
+def trees_for(recall: float, similarity: float = 0.8, depth: int = 6) -> int:
     """Trees so that a pair at the given similarity meets in one of them with probability recall, if leaves lie at that depth."""
-    lost = 0.0
-    for _ in range(depth):
-        one = 1 - similarity + similarity * lost
-        lost = (1 - SECOND) * one + SECOND * one * one
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    most = recall_of(1 << 20, similarity, depth)
+    if recall > most:
+        raise ValueError(f"{COORDINATES} coordinates give a recall of {most:.6f} at most")
+    return next(t for t in range(1, 1 << 20) if recall_of(t, similarity, depth) >= recall)
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -353,7 +370,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
         again = linkable.join(repeated.select("doc_id", "set_id"), ["doc_id", "set_id"]).groupBy("doc_id", "set_id").agg(F.min("signature").alias("signature"))
         linkable = linkable.join(repeated, "doc_id", "left_anti").select("doc_id", "set_id", "signature").unionByName(again)
     classes = written(linkable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature")), "classes")
-    pairs, large = candidates(classes.select(F.col("rep").alias("doc_id"), "signature"), trees_for(recall), leaf, depth)
+    pairs, large = candidates(classes.select(F.col("rep").alias("doc_id"), "signature"), trees_for(recall, percent / 100, depth), leaf, depth)
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     wanted = written((wanted.unionByName(large.select("doc_id")) if large is not None else wanted).distinct(), "wanted")

@@ -69,6 +69,21 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert all(r.kept == (i == root(i)) for i, r in found.items())
 
 
+def test_trees_reach_the_stated_recall():
+    # Pairs by simulation: coordinates that agree at 0.8, nodes that pick one or two of the 64 at random, in each tree.
+    rng, depth = np.random.default_rng(5), 6
+    trees, met, n = chosen_path.trees_for(0.995), 0, 20_000
+    same = rng.random((n, chosen_path.COORDINATES)) < 0.8
+    for agreed in same[same.mean(axis=1) >= chosen_path.SIEVE]:
+        alive = np.ones(trees, int)
+        for _ in range(depth):
+            tried = alive + rng.binomial(alive, chosen_path.SECOND)
+            alive = rng.binomial(tried, agreed.mean())
+        met += alive.any()
+    assert met / n > 0.9935
+    assert chosen_path.trees_for(0.995, depth=3) < trees
+
+
 def test_all_candidates_of_a_small_node_are_kept():
     # 12 sketches that agree on more than the sieve asks; the last two of them least of all.
     sketches = np.zeros((12, chosen_path.COORDINATES), np.uint8)
