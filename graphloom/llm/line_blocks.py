@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one for each block-level element's own text. What its element names as furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is a line of length 0, and so is
-text that mostly is links. The lengths are summed over a sliding window of lines; the main text lies between the
+text that mostly is links. A name counts as a whole, html, body, main, article and what holds them are never furniture by
+name, and neither is a block with most of the page's text, if no article is elsewhere. The lengths are summed over a sliding window of lines; the main text lies between the
 point where the sums surge and the point where they dive, for the stretch that holds most text. Lines of an
 ``article`` or ``main`` element that the stretch touches belong to it to their ends, however short they are, and so
 do its sibling lines under the same parent when there is no such element.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +38,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Words of class, id or role that name furniture.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing social related recommended "
-    "recommendations pagination pager search copyright legal disclaimer complementary contentinfo".split()
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing related recommended "
+    "recommendations pagination pager search complementary contentinfo".split()
 )
 #: Names that are furniture outside of the article only.
-OUTER_NAMES = frozenset("header head site-header page-header".split())
+OUTER_NAMES = frozenset("header head".split())
+#: Names that are furniture outside of the article, and in it where the line is mostly links.
+SOFT_NAMES = frozenset("notice notices alert social copyright legal disclaimer".split())
+#: What a name may be joined with and still say the same: site-footer is a footer, no-sidebar is no sidebar.
+QUALIFIERS = frozenset("site page main top bottom global primary secondary box bar block list area section wrapper wrap container widget form link links button buttons item items posts post articles slot unit zone inner outer fixed sticky mobile desktop text body".split())
+NEVER = frozenset(("html", "body", "main", "article"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -50,19 +57,34 @@ _SPACE = re.compile(r"\s+")
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
 
-def _is_furniture(name: str, attributes: str, in_root: bool) -> bool:
-    if name in FURNITURE or name in SKIPPED or name == "header" and not in_root:
-        return True
-    if not attributes:
-        return False
-    words = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & NAMES) or not in_root and bool(words & OUTER_NAMES) or bool(_HIDDEN.search(attributes))
+def _names(attributes: str) -> set[str]:
+    """Names of furniture among the class, id and role tokens."""
+    known = NAMES | OUTER_NAMES | SOFT_NAMES
+    found = set()
+    for m in _NAMED.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            if all(w in known or w in QUALIFIERS or w.isdigit() for w in parts):
+                found.update(known.intersection(parts))
+    return found
+
+
+def _furniture(name: str, attributes: str, in_root: bool) -> str:
+    """What makes an element furniture: its "own" kind, its "name", its name if mostly links ("soft"), or nothing."""
+    if name in FURNITURE or name in SKIPPED or name == "header" and not in_root or attributes and _HIDDEN.search(attributes):
+        return "own"
+    words = _names(attributes) if attributes else set()
+    if words & NAMES or not in_root and words & (OUTER_NAMES | SOFT_NAMES):
+        return "name"
+    return "soft" if words & SOFT_NAMES else ""
 
 
 def lines_of(page: str) -> list[tuple[str, float, bool, int, int]]:
     """(text, share of link characters, furniture, number of the root element or 0, number of the parent) of each line in page order."""
     out: list[tuple[str, float, bool, int, int]] = []
-    stack: list[tuple[str, bool, int, int]] = []  # name, furniture, root, own number
+    stack: list[tuple[str, str, int, int]] = []  # name, furniture, root, own number
+    named: list[dict[int, int]] = []  # of each line, the elements around it that their names mark, and the roots that these are in
+    exempt: set[int] = set()
     buffer: list[str] = []
     linked = count = 0
 
@@ -72,9 +94,11 @@ def lines_of(page: str) -> list[tuple[str, float, bool, int, int]]:
             # A character reference may be cut by nothing but markup: decode the joined text, then its white space.
             text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             if text:
-                block = next((s for s in reversed(stack) if s[0] not in INLINE), ("", False, 0, 0))
+                block = next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", 0, 0))
                 parent = next((s[3] for s in reversed(stack) if s[0] not in INLINE and s[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "blockquote", "pre")), 0)
-                out.append((text, min(1.0, linked / len(text)), any(s[1] for s in stack), block[2], parent))
+                share = min(1.0, linked / len(text))
+                out.append((text, share, any(s[1] == "own" or s[1] == "soft" and share > LINKED for s in stack), block[2], parent))
+                named.append({s[3]: s[2] for s in stack if s[1] == "name"})
             buffer.clear()
         linked = 0
 
@@ -111,12 +135,26 @@ def lines_of(page: str) -> list[tuple[str, float, bool, int, int]]:
             attributes = m[4] or ""
             count += 1
             above = stack[-1][2] if stack else 0
-            stack.append((name, _is_furniture(name, attributes, above > 0), above or (count if name in ROOTS else 0), count))
+            kind = _furniture(name, attributes, above > 0)
+            if name in NEVER:
+                # Comments may be articles of their own, with names that say so: they don't speak for what holds them.
+                if name != "article" or kind != "name":
+                    exempt.update(s[3] for s in stack)
+                kind = kind if kind == "own" else ""
+            stack.append((name, kind, above or (count if name in ROOTS else 0), count))
             if attributes.endswith("/") and name not in INLINE:
                 stack.pop()
     text(page[at:])
     end_line()
-    return out
+    # Most of the text makes a block no furniture within an article, or where the page has none.
+    has_root = any(root and not bad and exempt.issuperset(around) for (_, _, bad, root, _), around in zip(out, named, strict=True))
+    held, total = Counter(), 0
+    for (line, share, bad, _, _), around in zip(out, named, strict=True):
+        if not bad and share <= LINKED:
+            total += len(line)
+            held.update({k: len(line) for k, inside in around.items() if inside or not has_root})
+    exempt.update(k for k, n in held.items() if n >= SURGE and 2 * n > total)
+    return [(line, share, bad or not exempt.issuperset(around), root, parent) for (line, share, bad, root, parent), around in zip(out, named, strict=True)]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, linked: float = LINKED) -> str:

@@ -223,6 +223,37 @@ def test_main_text(spark):
     assert line_blocks.extract(pages.limit(0)).collect() == []
 
 
+STORY = ["Long sentence of the story. " * 5, "More of the story again. " * 5, "And the end of it, at last, for all of us. " * 3]
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<body class="single no-sidebar"><div>', "</div>"),
+        ('<body class="nav"><div>', "</div>"),
+        ('<body><div class="content right-sidebar">', "</div>"),
+        ('<body><div class="content sidebar">', "</div>"),
+        ('<body><article class="post comment-open">', "</article>"),
+        ('<body><article class="related">', "</article>"),
+        ('<body><div id="page" class="has-nav">', "</div>"),
+        ('<body><div class="overlay"><main>', "</main></div>"),
+    ],
+)
+def test_names_on_wrappers_do_not_empty_the_page(start, end):
+    page = f"<html>{start}" + "".join(f"<p>{p}</p>" for p in STORY) + f"{end}<div class=site-footer>Imprint</div></body></html>"
+    assert line_blocks.main_text(page) == "\n\n".join(p.strip() for p in STORY)
+
+
+@pytest.mark.parametrize("name", ["legal", "alert", "notice", "social"])
+def test_named_paragraphs_of_the_article_stay(name):
+    page = f"<article><p>{STORY[0]}</p><p class={name}>{STORY[1]}</p><div class={name}><a href=1>Share this</a></div><div class=ad-slot>Buy now</div><p>{STORY[2]}</p></article><div id=comments><article class=comment-body><p>{STORY[0]}</p></article></div>"
+    assert line_blocks.main_text(page) == "\n\n".join(p.strip() for p in STORY)
+
+
+def test_long_advert_beside_a_short_article():
+    assert line_blocks.main_text(f"<body><div class=ad>{STORY[0]}</div><article><h1>Short</h1><p>Tiny.</article>") == "Short\n\nTiny."
+
+
 def bag(t):
     return Counter(w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w) or Counter([""])
 
