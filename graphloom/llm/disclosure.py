@@ -1,16 +1,16 @@
 """Personal data and the terms that give it away, in DataFrame functions alone.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers that patterns and checks find. Each
-distinct value is a protected entity. A term near an entity's mention (within ``REACH`` code points) discloses it
-by the information it carries about it,
+distinct value is a protected entity. A term of a text that mentions an entity discloses it by the information it
+carries about it,
 
     disclosure(t, e) = PMI(t; e) / IC(e),  PMI = log(N n(t, e) / (n(t) n(e))),  IC = log(N / n(e)),
 
-with document counts over the whole corpus. Terms seen near the entity in at least ``SUPPORT`` different texts are
-generalised from ``GENERALISE`` on and removed from ``REMOVE`` on. Only texts that hold the entity lose them.
+with document counts over the whole corpus. Terms seen with the entity in at least ``SUPPORT`` different texts are
+generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, all their occurrences, in texts that hold the entity.
 
-Counts are combined before every shuffle, corpus words as 64-bit hashes, and no row carries a text through one in
-the query. Texts with the same content share their method spans by digest, so hot groups of copies are one row there.
+Counts are combined before every shuffle, corpus words as 64-bit hashes, and of all texts only those with entities go
+through one in the query. Texts with the same content share their method spans by digest, so hot groups of copies are one row there.
 
 Defined results. Null text: the empty text. Repeated rows, and rows that share a doc_id or have none, are each
 returned and judged by their own text. An empty table gives an empty result. Offsets are code points, ends
@@ -19,12 +19,11 @@ exclusive. Extra columns are not read by ``find``; ``sanitise`` keeps the column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
 
-REACH = 100
 SUPPORT = 2
 GENERALISE = 0.6
 REMOVE = 0.85
@@ -93,27 +92,31 @@ def with_base(docs: DataFrame) -> DataFrame:
     return own.withColumn("key", F.when(F.size("base") > 0, F.sha2("text", 256)).otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """(key, copies, entity, term, start, end): terms near mentions, outside of all base spans, once for each text; copies: documents with that text."""
-    # A word that the reach cuts touches the context's outer end; it is left out unless the text ends there too.
-    left = f"filter({_spans('c.before', TERM, 'term', 4, 'c.from')}, t -> t.start > c.from or c.from = 0)"
-    right = f"filter({_spans('c.after', TERM, 'term', 4, 'c.to')}, t -> t.end < c.to + length(c.after) or length(c.after) < {REACH})"
-    texts = found.filter(F.size("contexts") > 0).groupBy("key").agg(F.count("*").alias("copies"), F.min("contexts").alias("contexts"), F.min("base").alias("base"))
-    mentions = texts.select("key", "copies", "base", F.explode("contexts").alias("c")).select("key", "copies", "base", "c.entity", F.expr(f"concat({left}, {right})").alias("terms"))
-    rows = mentions.select("key", "copies", "entity", F.explode(F.expr("filter(terms, t -> not exists(base, b -> t.start < b.end and t.end > b.start))")).alias("t"))
-    return rows.select("key", "copies", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.value").alias("value"))
+#: The text with its base spans blanked: offsets stay, and what is left is outside of all of them.
+MASKED = """aggregate(base, named_struct('at', 0, 'out', ''), (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end,
+    'out', concat(a.out, substring(text, a.at + 1, greatest(s.start - a.at, 0)), repeat(' ', s.end - greatest(s.start, a.at))))), a -> concat(a.out, substring(text, a.at + 1)))"""
 
 
-CONTEXTS = f"""transform(base, b -> named_struct('entity', {entity('b')}, 'from', greatest(b.start - {REACH}, 0), 'to', b.end,
-    'before', substring(text, greatest(b.start - {REACH}, 0) + 1, b.start - greatest(b.start - {REACH}, 0)), 'after', substring(text, b.end + 1, {REACH})))"""
+def entity_texts(found: DataFrame) -> DataFrame:
+    """(key, copies, masked, entities): each text with entities once; copies: documents with that text."""
+    texts = found.filter(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), F.min("masked").alias("masked"), F.min("base").alias("base"))
+    return texts.select("key", "copies", "masked", F.expr(f"array_distinct(transform(base, b -> {entity('b')}))").alias("entities"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of at least GENERALISE; docs: doc_id, text; near: from near_terms."""
+def text_terms(texts: DataFrame) -> DataFrame:
+    """(key, entity, copies, value, term): the entities of each text against its distinct words, for entities that enough texts hold to support a term."""
+    held = texts.select("key", "copies", F.explode("entities").alias("entity"))
+    held = held.join(held.groupBy("entity").count().filter(F.col("count") >= SUPPORT).select("entity"), "entity")
+    values = texts.select("key", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(masked, {_quoted(TERM)}, 0)"))).alias("value"))
+    return held.join(values, "key").withColumn("term", F.lower("value"))
+
+
+def disclosing(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, term, disclosure) of at least GENERALISE; docs: doc_id, text; texts: from entity_texts."""
     # A text's copies count as documents, and the text once as support.
-    each = near.select("key", "copies", "entity", "term").distinct()
+    each = text_terms(texts).select("key", "copies", "entity", "term").distinct()
     together = each.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
-    of_entity = near.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    of_entity = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)"))).alias("term"))
     of_term = words.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_term"))
     candidates = together.join(of_entity, "entity").withColumn("h", F.xxhash64("term"))
@@ -126,9 +129,15 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """key, extra: the method's spans of each text that has any, sorted; rank 4 is generalised, 5 removed."""
-    near = written(near_terms(found), "near")
-    pairs = written(disclosing(docs, near), "disclosing")
-    hit = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"), F.min("value").alias("value"))
+    texts = written(entity_texts(found), "entity-texts")
+    pairs = written(disclosing(docs, texts), "disclosing")
+    hit = text_terms(texts).join(pairs, ["entity", "term"]).groupBy("key", "value").agg(F.max("disclosure").alias("disclosure"))
+    # Only the words that a text loses are looked for in it: whole runs of letters, which need no quoting.
+    wanted = hit.groupBy("key").agg(F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array(F.collect_list("value")), "|"), F.lit(r")(?!\p{L})")).alias("pattern")).join(texts.select("key", "masked"), "key")
+    parts = F.expr("zip_with(split(masked, pattern, -1), regexp_extract_all(masked, pattern, 0), (g, m) -> named_struct('g', length(g), 'value', m))")
+    placed = wanted.select("key", F.posexplode(parts).alias("pos", "x")).select("key", "pos", "x.g", "x.value")
+    ends = F.sum(F.col("g") + F.coalesce(F.length("value"), F.lit(0))).over(Window.partitionBy("key").orderBy("pos")).cast("int")
+    hit = placed.withColumn("end", ends).filter("value is not null").withColumn("start", F.col("end") - F.length("value")).join(hit, ["key", "value"])
     span = F.struct("start", F.when(F.col("disclosure") >= REMOVE, 5).otherwise(4).alias("rank"), F.lit("term").alias("kind"), "end", "value")
     return hit.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("extra"))
 
@@ -140,7 +149,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, base and spans, arrays of (start, rank, kind, end, value)."""
     own = _texts(docs)
-    found = written(with_base(own).withColumn("contexts", F.expr(CONTEXTS)).drop("text"), "found")
+    found = written(with_base(own).withColumn("masked", F.when(F.size("base") > 0, F.expr(MASKED))).drop("text"), "found")
     extra = term_spans(own, found)
     both = found.select("doc_id", "key", "base").join(extra, "key", "left")
     return both.select("doc_id", "base", F.expr("array_sort(if(extra is null, base, concat(base, extra)))").alias("spans"))
@@ -163,7 +172,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced and disclosing terms generalised or removed in text; n_chars, if there, follows."""
     columns = docs.columns
     own = _texts(docs)
-    found = written(with_base(own).filter(F.size("base") > 0).withColumn("contexts", F.expr(CONTEXTS)).drop("text"), "found")
+    found = written(with_base(own).filter(F.size("base") > 0).withColumn("masked", F.when(F.size("base") > 0, F.expr(MASKED))).drop("text"), "found")
     extra = term_spans(own, found).withColumnRenamed("key", "__key")
     marked = docs.withColumn("__base", F.expr(base_spans("coalesce(cast(text as string), '')")))
     clean = marked.filter(F.size("__base") == 0).select(*columns)

@@ -157,6 +157,16 @@ def test_terms_that_disclose(spark):
     assert "zorblax" not in text and "common words" in text
 
 
+def test_terms_that_disclose_far_from_the_mention(spark):
+    far = "common words here and more of them " * 10
+    rows = [(k, f"Zorblax {far} {k} ann@mail.example.com {far} zorblax zorblaxes") for k in range(4)] + [(100 + k, far + "zorblaxian") for k in range(200)]
+    spans = {r.doc_id: r.spans.split(",") for r in disclosure.report(table(spark, rows)).collect()}
+    at = [m.span() for m in re.finditer(r"\b[Zz]orblax(?:es)?\b", rows[0][1])]
+    assert [x for x in spans[0] if x.startswith("term:")] == [f"term:{a}:{b}" for a, b in at] and len(at) == 3
+    assert all(spans[100 + k] == [""] for k in range(200))
+    assert "orblax" not in disclosure.sanitise(table(spark, rows)).filter("doc_id = 0").first().text
+
+
 def test_token_files(spark, odd):
     path = tokenizer_file("word_bpe_49k.json")
     from tokenizers import Tokenizer
