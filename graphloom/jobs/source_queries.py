@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.jobs.queries import query
 from graphloom.jobs.tables import read
+from graphloom.operators import compile as C
 from graphloom.operators import resolve as R
 from graphloom.sources import python_source as P
 from graphloom.sources import skeleton as K
@@ -68,3 +69,63 @@ def semantic_skeleton(spark, d):
     own = own.withColumn("text", T.embedding_text(F.col("type"), F.col("name"), F.col("class_name"), F.array().cast("array<string>"), F.col("doc")))
     parts = [F.col(c) for c in ("chunk", "text", "class_name", "file_path")]
     return own.select("node_id", K.skeleton(*parts).alias("skeleton"), K.rerank_passage(*parts).alias("passage"))
+
+
+#: A program in which names resolve: a file of shared classes and functions for each brand, and files of parts that import it and the file before.
+_FOLDER = "lower(replace(p_brand, '#', '_'))"
+_PROGRAM = f"""parts AS (SELECT p_partkey AS k, p_name AS title, {_FOLDER} AS folder, p_partkey // 200 AS block, {_FOLDER} || '/block_' || CAST(p_partkey // 200 AS VARCHAR) || '.py' AS path, {_FOLDER} || '/base.py' AS base,
+  CAST(row_number() OVER (PARTITION BY {_FOLDER}, p_partkey // 200 ORDER BY p_partkey) AS INT) AS n FROM part),
+folders AS (SELECT DISTINCT folder FROM parts), blocks AS (SELECT DISTINCT folder, block, path, base FROM parts),
+jobs AS (SELECT folder, base, i FROM (SELECT DISTINCT folder, base FROM parts), unnest(range(5)) AS r(i))"""
+
+
+def program(spark, d) -> DataFrame:
+    """rel_path, source. A file has 200 parts at most, so no group grows with the data."""
+    key, folder = F.col("p_partkey").cast("string"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    part = read(spark, d, "part").withColumn("folder", folder).withColumn("block", F.floor(F.col("p_partkey") / 200).cast("long"))
+    shared = "".join(f"class Base_FOLDER_{i}:\n    pass\ndef job_FOLDER_{i}(n):\n    return n\n" for i in range(5))
+    base = part.select("folder").distinct().select(F.concat("folder", F.lit("/base.py")).alias("rel_path"), F.replace(F.lit(shared), F.lit("FOLDER"), F.col("folder")).alias("source"))
+    lines = F.concat(
+        F.lit("class P"), key, F.lit("(Base_"), "folder", F.lit("_"), (F.col("p_partkey") % 5).cast("string"), F.lit('):\n    """'), "p_name", F.lit('"""\n    def make(self, n):\n        return self.size(n) + job_'), "folder",
+        F.lit("_"), (F.col("p_partkey") % 5).cast("string"), F.lit("(n)\n    def size(self, n):\n        def half(m):\n            return len(m)\n        return scale(half(n))\nC"), key, F.lit(": int = 1\n"),
+    )
+    files = part.groupBy("folder", "block").agg(F.array_sort(F.collect_list(F.struct("p_partkey", lines.alias("text")))).alias("parts"))
+    before = F.when(F.col("block") > 0, F.concat(F.lit("from "), "folder", F.lit(" import block_"), (F.col("block") - 1).cast("string"))).otherwise(F.lit("import os"))
+    head = F.concat(F.lit("from .base import Base_"), "folder", F.lit("_0\n"), before, F.lit("\ndef scale(n):\n    return make(n)\n"))
+    blocks = files.select(F.concat("folder", F.lit("/block_"), F.col("block").cast("string"), F.lit(".py")).alias("rel_path"), F.concat(head, F.array_join("parts.text", "")).alias("source"))
+    return base.unionByName(blocks)
+
+
+@query(f"""WITH {_PROGRAM}
+SELECT path || '::P' || k AS node_id, 'CLASS' AS type, 'P' || k AS name, path AS file_path, CAST(NULL AS VARCHAR) AS class_name, 9 * (n - 1) + 5 AS start_line, CAST(NULL AS VARCHAR) AS signature, 'Type: CLASS' || chr(10) || 'Name: P' || k || chr(10) || 'Inherits: Base_' || folder || '_' || (k % 5) || chr(10) || 'Doc: ' || title AS text FROM parts
+UNION ALL SELECT path || '::P' || k || '.' || m, 'FUNCTION', m, path, 'P' || k, 9 * (n - 1) + pos, CASE m WHEN 'half' THEN '(m)' ELSE '(self, n)' END, 'Type: FUNCTION' || chr(10) || 'Name: ' || m || chr(10) || 'Class: P' || k FROM parts, (VALUES ('make', 7), ('size', 9), ('half', 10)) AS f(m, pos)
+UNION ALL SELECT path || '::C' || k, 'CONSTANT', 'C' || k, path, NULL, 9 * (n - 1) + 13, NULL, NULL FROM parts
+UNION ALL SELECT path || '::scale', 'FUNCTION', 'scale', path, NULL, 3, '(n)', 'Type: FUNCTION' || chr(10) || 'Name: scale' FROM blocks
+UNION ALL SELECT base || '::' || 'Base_' || folder || '_' || i, 'CLASS', 'Base_' || folder || '_' || i, base, NULL, 4 * i + 1, NULL, 'Type: CLASS' || chr(10) || 'Name: Base_' || folder || '_' || i FROM jobs
+UNION ALL SELECT base || '::' || 'job_' || folder || '_' || i, 'FUNCTION', 'job_' || folder || '_' || i, base, NULL, 4 * i + 3, '(n)', 'Type: FUNCTION' || chr(10) || 'Name: job_' || folder || '_' || i FROM jobs
+UNION ALL SELECT path, 'FILE', 'block_' || block || '.py', NULL, NULL, NULL, NULL, NULL FROM blocks
+UNION ALL SELECT folder || '/base.py', 'FILE', 'base.py', NULL, NULL, NULL, NULL, NULL FROM folders UNION ALL SELECT folder, 'MODULE', folder, NULL, NULL, NULL, NULL, NULL FROM folders""")
+def graph_nodes(spark, d):
+    return C.compile_graph(program(spark, d))[0].select("node_id", "type", "name", "file_path", "class_name", "start_line", "signature", "text")
+
+
+@query(f"""WITH {_PROGRAM}, kinds AS (SELECT path AS src, path || '::P' || k AS dst, 'CONTAINS' AS relationship FROM parts UNION ALL SELECT path, path || '::P' || k || '.' || m, 'CONTAINS' FROM parts, (VALUES ('make'), ('size'), ('half')) AS f(m)
+UNION ALL SELECT path, path || '::C' || k, 'CONTAINS' FROM parts UNION ALL SELECT path, path || '::scale', 'CONTAINS' FROM blocks
+UNION ALL SELECT base, base || '::Base_' || folder || '_' || i, 'CONTAINS' FROM jobs UNION ALL SELECT base, base || '::job_' || folder || '_' || i, 'CONTAINS' FROM jobs)
+SELECT * FROM kinds
+UNION ALL SELECT folder, path, 'MEMBER_OF' FROM blocks UNION ALL SELECT folder, folder || '/base.py', 'MEMBER_OF' FROM folders
+UNION ALL SELECT path, base, 'IMPORTS' FROM blocks UNION ALL SELECT a.path, b.path, 'IMPORTS' FROM blocks a JOIN blocks b ON a.folder = b.folder AND a.block = b.block + 1
+UNION ALL SELECT path || '::P' || k, base || '::Base_' || folder || '_' || (k % 5), 'INHERITS_FROM' FROM parts
+UNION ALL SELECT path || '::P' || k || '.make', path || '::P' || k || '.size', 'CALLS' FROM parts
+UNION ALL SELECT path || '::P' || k || '.make', base || '::job_' || folder || '_' || (k % 5), 'CALLS' FROM parts
+UNION ALL SELECT path || '::P' || k || '.size', path || '::scale', 'CALLS' FROM parts UNION ALL SELECT path || '::P' || k || '.size', path || '::P' || k || '.half', 'CALLS' FROM parts
+UNION ALL SELECT path || '::scale', path || '::P' || min(k) || '.make', 'CALLS' FROM parts GROUP BY path""")
+def graph_edges(spark, d):
+    """All four ways of resolving a call are taken: a member, the file's own, the first of that name in it, and what it imports."""
+    return C.compile_graph(program(spark, d))[1]
+
+
+@query(f"WITH {_PROGRAM} SELECT a.path AS import_id, f.name, CASE WHEN f.name = a.folder THEN NULL ELSE b.path END AS file_path FROM blocks a LEFT JOIN blocks b ON a.folder = b.folder AND a.block = b.block + 1, unnest(CASE WHEN a.block = 0 THEN ['os'] ELSE [a.folder, a.folder || '.block_' || (a.block - 1)] END) AS f(name)")
+def program_absolute_imports(spark, d):
+    facts = C.parsed_once(program(spark, d))
+    return R.absolute_imports(P.imported_names(facts), P.modules(facts))

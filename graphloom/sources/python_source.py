@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "rel_path string, kind string, ord int, name string, owner string, start_line int, end_line int, signature string, doc string, body_hash string, chunk string, calls array<string>, bases array<string>, level int, module string"
-_ARROW = pa.schema([("rel_path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("doc", pa.string()), ("body_hash", pa.string()), ("chunk", pa.string()), ("calls", pa.list_(pa.string())), ("bases", pa.list_(pa.string())), ("level", pa.int32()), ("module", pa.string())])
+SCHEMA = "rel_path string, kind string, ord int, name string, owner string, start_line int, end_line int, signature string, doc string, body_hash string, chunk string, calls array<string>, bases array<string>, level int, module string, top boolean"
+_ARROW = pa.schema([("rel_path", pa.string()), ("kind", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("doc", pa.string()), ("body_hash", pa.string()), ("chunk", pa.string()), ("calls", pa.list_(pa.string())), ("bases", pa.list_(pa.string())), ("level", pa.int32()), ("module", pa.string()), ("top", pa.bool_())])
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LINE_END = re.compile(r"\r\n|\r|\n")
 
@@ -58,25 +58,29 @@ def facts(source: str | None) -> list[dict]:
     plain = [x for x in tree.body if not isinstance(x, (*_DEFS, ast.ClassDef))]
     out = [{"kind": "FILE", "doc": ast.get_docstring(tree), "calls": _called(plain)}]
     lines = _LINE_END.split(source)
-    todo = [(x, None, True) for x in reversed(tree.body)]
+    # What a statement stands in: "module" or "class" (directly in a class of the module), or deeper.
+    todo = [(x, None, True, "module") for x in reversed(tree.body)]
     while todo:
-        node, owner, outer = todo.pop()
+        node, owner, outer, place = todo.pop()
         row = {"start_line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None)}
+        below = ""
         if isinstance(node, (*_DEFS, ast.ClassDef)) or isinstance(node, ast.Assign) and outer:
             row["chunk"] = _chunk(lines, node)
         if isinstance(node, ast.ClassDef):
             out.append(row | {"kind": "CLASS", "name": node.name, "doc": ast.get_docstring(node), "bases": [b for x in node.bases if (b := _base(x))]})
-            owner, outer = node.name, False
+            owner, outer, below = node.name, False, "class" if place == "module" else ""
         elif isinstance(node, _DEFS):
-            out.append(row | {"kind": "FUNCTION", "name": node.name, "owner": owner, "doc": ast.get_docstring(node), "signature": f"({', '.join(a.arg for a in node.args.args)})", "body_hash": _hash(node), "calls": _called(node.body)})
+            out.append(row | {"kind": "FUNCTION", "name": node.name, "owner": owner, "doc": ast.get_docstring(node), "signature": f"({', '.join(a.arg for a in node.args.args)})", "body_hash": _hash(node), "calls": _called(node.body), "top": place != ""})
             outer = False
         elif isinstance(node, ast.Assign) and outer:
             out += [row | {"kind": "CONSTANT", "name": t.id} for t in node.targets if isinstance(t, ast.Name)]
+        elif isinstance(node, ast.AnnAssign) and place == "module" and isinstance(node.target, ast.Name):
+            out.append(row | {"kind": "CONSTANT", "name": node.target.id})
         elif isinstance(node, ast.Import):
             out += [row | {"kind": "IMPORT", "level": 0, "module": a.name} for a in node.names]
         elif isinstance(node, ast.ImportFrom):
             out += [row | {"kind": "IMPORT", "level": node.level, "module": node.module, "name": a.name} for a in node.names]
-        todo += [(x, owner, outer) for x in reversed(list(ast.iter_child_nodes(node)))]
+        todo += [(x, owner, outer, below) for x in reversed(list(ast.iter_child_nodes(node)))]
     return out
 
 
@@ -106,8 +110,11 @@ def entities(parsed: DataFrame) -> DataFrame:
 
 
 def calls(parsed: DataFrame) -> DataFrame:
-    """caller_id, file_path, class_name, symbol: what functions call, and files outside of definitions."""
-    callers = parsed.filter(F.col("kind").isin("FUNCTION", "FILE"))
+    """caller_id, file_path, class_name, symbol: what functions of a module and methods of its classes call, and files outside of definitions.
+
+    What a nested function calls, the one around it calls; functions in if or try blocks are no callers.
+    """
+    callers = parsed.filter("kind = 'FILE' or kind = 'FUNCTION' and top")
     caller = F.when(F.col("kind") == "FILE", F.col("rel_path")).otherwise(_node_id())
     return callers.select(caller.alias("caller_id"), F.col("rel_path").alias("file_path"), F.col("owner").alias("class_name"), F.explode("calls").alias("symbol")).distinct()
 
