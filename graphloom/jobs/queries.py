@@ -152,10 +152,13 @@ def keyword_score(spark, d):
 
 
 _TERMS = ["steel_1", "green", "small", "tin_22", "antique brass zz", "zzz qqq"]
-_TERMS_SQL = "t AS (SELECT unnest(['" + "', '".join(_TERMS) + "']) AS term)"
 _LITERAL_SQL = """round(CASE WHEN lower(name) = term THEN 100 WHEN ends_with(lower(name), '.' || term) OR contains(node_id, '.' || term) THEN 90 WHEN contains(lower(name), term) THEN 70 + call_centrality WHEN contains(lower(signature), term) THEN 35 + call_centrality ELSE 50 + call_centrality END
 - CASE WHEN length(term) <= 4 AND lower(name) <> term AND contains(lower(signature), term) THEN 25 ELSE 0 END, 9)"""
-_GREP_SQL = f"""{CENTRAL_SQL}, {_TERMS_SQL},
+
+
+def _grep_sql(terms: list[str]) -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""{CENTRAL_SQL}, t AS (SELECT DISTINCT unnest([{listed}]) AS term),
 lit AS (SELECT term, node_id, node_ord, {_LITERAL_SQL} AS score FROM central JOIN t ON contains(lower(grep_text), term)),
 best AS (SELECT * FROM lit QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, node_ord) = 1),
 fz AS (SELECT term, node_id, node_ord, round(CASE WHEN contains(lower(name || ' ' || signature), term) THEN 80 + call_centrality ELSE len(list_filter(tk, lambda x: contains(lower(name || ' ' || signature), x))) / len(tk) * 50 + call_centrality END, 9) AS score
@@ -163,6 +166,9 @@ fz AS (SELECT term, node_id, node_ord, round(CASE WHEN contains(lower(name || '
 fuz AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, node_ord) AS rank FROM fz WHERE score > 0)"""
 
 
+_GREP_SQL = _grep_sql(_TERMS)
+
+
 def _grep(spark, d):
     terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
     return S.grep(ranked_nodes(spark, d), terms).withColumn("score", F.round("score", 9))

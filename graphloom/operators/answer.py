@@ -2,7 +2,7 @@
 
 nodes: node_id, type, name, file_path, signature, grep_text, passage (what a scorer reads), start_line, end_line, node_ord,
 vector (may be null), call_centrality; edges: src, dst, relationship. queries: no, query, vector, and terms: no, term, are
-what somebody asked, some dozens at most: they are broadcast, and so are the anchors found for them, two each.
+what somebody asked, some dozens at most, and are broadcast.
 
 A scorer takes the columns of a query and a passage and gives a number, higher for a better match; ``lexical`` is one,
 a model in a pandas UDF another. Without one the first order stands.
@@ -49,15 +49,16 @@ def semantic(nodes: DataFrame, queries: DataFrame, scorer: Scorer | None = None,
 
 def ranked_neighbours(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, asked: DataFrame, scorer: Scorer | None = None, limit: int = 5) -> DataFrame:
     """(ask, anchor, side, node_id, rank): callers and callees of anchors(ask, anchor), the best first for the queries asked(ask, query, vector)."""
-    near = G.call_neighbours(edges, anchors.select("anchor").distinct()).join(F.broadcast(anchors), "anchor")
-    facts = near.join(nodes.select("node_id", "vector", "passage", F.coalesce("call_centrality", F.lit(0.0)).alias("c")), "node_id", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    near = G.call_neighbours(edges, anchors.select("anchor").distinct()).join(anchors, "anchor")
+    # A node is compared with the queries of an ask once, whatever it neighbours.
+    facts = near.select("ask", "node_id").distinct().join(nodes.select("node_id", "vector", "passage", F.coalesce("call_centrality", F.lit(0.0)).alias("c")), "node_id", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
     # A row for each query of the ask; one without vector where there is none.
-    q = F.broadcast(asked.select("ask", "query", V.as_double(F.col("vector")).alias("q")))
-    each = facts.join(q, "ask", "left")
+    each = facts.join(F.broadcast(asked.select("ask", "query", V.as_double(F.col("vector")).alias("q"))), "ask", "left")
     similar = F.when((F.size("vector") > 0) & F.col("q").isNotNull(), V.cosine(V.as_double(F.col("vector")), F.col("q")))
     by = ["ask", "anchor", "side", "node_id"]
     read = [] if scorer is None else [F.max(F.when(F.col("query").isNotNull(), scorer(F.col("query"), F.col("passage")))).alias("best")]
-    scored = each.groupBy(*by).agg(F.max("c").alias("c"), F.max(similar).alias("sim"), *read).withColumn("score", F.round(F.when(F.col("sim").isNotNull(), F.col("sim") + 0.1 * F.col("c")).otherwise(F.col("c")), 9))
+    scored = each.groupBy("ask", "node_id").agg(F.max("c").alias("c"), F.max(similar).alias("sim"), *read)
+    scored = near.join(scored, ["ask", "node_id"]).withColumn("score", F.round(F.when(F.col("sim").isNotNull(), F.col("sim") + 0.1 * F.col("c")).otherwise(F.col("c")), 9))
     pool = G.ranked(scored, by[:3], F.desc("score"), F.col("node_id"), n=limit if scorer is None else POOL)
     if scorer is not None:
         pool = G.ranked(pool.withColumnRenamed("rank", "was"), by[:3], F.desc_nulls_last("best"), F.col("was"), n=limit)

@@ -74,8 +74,12 @@ def edges(facts: DataFrame, own: DataFrame) -> DataFrame:
     return out
 
 
-def compile_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of files (rel_path, source)."""
-    facts = parsed_once(files)
+def graph_of(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the facts of all files."""
     own = stored(entity_nodes(facts), "entities")
     return own.unionByName(place_nodes(facts), allowMissingColumns=True), edges(facts, own)
+
+
+def compile_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of files (rel_path, source)."""
+    return graph_of(parsed_once(files))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+from graphloom.operators import compile as C
+from graphloom.sources import python_source as P
+from graphloom.sources.store import stored
+
 
 def changes(tracked: DataFrame, current: DataFrame) -> DataFrame:
     """(path, change) of tracked(path, mtime) and current(path, mtime): new, deleted or dirty; unchanged files are left out."""
@@ -25,3 +32,53 @@ def with_cached_docs(functions: DataFrame, cache: DataFrame) -> DataFrame:
     own = F.coalesce("docstring", F.lit("")) != ""
     source = F.when(own, "native").when(F.col("doc").isNotNull(), "auto").otherwise("none")
     return functions.join(known, "body_hash", "left").select("node_id", "body_hash", F.when(own, F.col("docstring")).otherwise(F.coalesce("doc", F.lit(""))).alias("docstring"), source.alias("docstring_source"))
+
+
+def facts_after(files: DataFrame, tracked: DataFrame, facts: DataFrame | None) -> DataFrame:
+    """What is known of files(rel_path, source, mtime) now: facts of those that have not changed since tracked(path, mtime), and new ones of the others.
+
+    Only changed files are parsed. Names resolve across files, so the graph is joined from all facts again: what a changed
+    file defines reaches unchanged callers, and nothing of deleted files stays.
+    """
+    if facts is None:
+        return C.parsed_once(files)
+    change = changes(tracked, files.select(F.col("rel_path").alias("path"), "mtime")).select(F.col("path").alias("rel_path"), "change")
+    # A file that was tracked, but of which nothing is known, is parsed as well.
+    unknown = files.join(facts.select("rel_path").distinct(), "rel_path", "left_anti").select("rel_path")
+    parsed = change.filter("change != 'deleted'").select("rel_path").unionByName(unknown).distinct()
+    fresh = P.parse(files.join(parsed, "rel_path", "left_semi").groupBy("rel_path").agg(F.max("source").alias("source")).repartition("rel_path"))
+    kept = facts.join(change.select("rel_path").unionByName(parsed).distinct(), "rel_path", "left_anti")
+    return stored(kept.select(*facts.columns).unionByName(fresh.select(*facts.columns)), "facts")
+
+
+def synced(files: DataFrame, tracked: DataFrame, facts: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, nodes, edges) after the changes: the same as of all files built anew."""
+    known = facts_after(files, tracked, facts)
+    return known, *C.graph_of(known)
+
+
+def embedded(nodes: DataFrame, before: DataFrame | None, embedder: Callable[[Column], Column]) -> DataFrame:
+    """nodes with vector: the one of before(node_id, text, vector) where the text is the same, else the embedder's; none without text."""
+    if before is None:
+        return nodes.withColumn("vector", F.when(F.col("text").isNotNull(), embedder(F.col("text"))))
+    old = before.filter("vector is not null").groupBy("node_id", "text").agg(F.first("vector").alias("vector"))
+    kept = nodes.join(old, ["node_id", "text"], "left")
+    same, rest = kept.filter("vector is not null or text is null"), kept.filter("vector is null and text is not null")
+    columns = [*nodes.columns, "vector"]
+    return same.select(*columns).unionByName(rest.withColumn("vector", embedder(F.col("text"))).select(*columns))
+
+
+def with_generated_docs(functions: DataFrame, cache: DataFrame, provider: Callable[[Column, Column], Column] | None = None, least_words: int = 6) -> tuple[DataFrame, DataFrame]:
+    """functions(node_id, name, chunk, docstring, body_hash) with docstring and its source, and the cache with what was generated.
+
+    Own docstrings stand, then cached ones of the same body, then the first sentence of what the provider says of name and
+    source, if that has enough words. A body is asked for once. Without a provider nothing is generated.
+    """
+    known = with_cached_docs(functions, cache)
+    if provider is None:
+        return known, cache
+    asked = functions.join(known.filter("docstring_source = 'none' and coalesce(body_hash, '') != ''").select("node_id"), "node_id", "left_semi")
+    asked = asked.filter("coalesce(name, '') != '' and coalesce(chunk, '') != ''").groupBy("body_hash").agg(F.min(F.struct("name", "chunk")).alias("x"))
+    said = asked.select("body_hash", T.one_sentence(provider(F.col("x.name"), F.col("x.chunk"))).alias("doc")).filter(F.size(F.filter(F.split("doc", "\\s+"), lambda w: w != "")) >= least_words)
+    grown = cache.select("body_hash", "doc").unionByName(stored(said, "generated"))
+    return with_cached_docs(functions, grown), grown

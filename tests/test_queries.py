@@ -1,7 +1,7 @@
 import pytest
 from oracle import DATA, actual, expected
 
-from graphloom.jobs import source_queries  # noqa: F401  registers its queries with the others
+from graphloom.jobs import answer_queries, source_queries  # noqa: F401  register their queries with the others
 from graphloom.jobs.queries import ORACLES, QUERIES
 
 
