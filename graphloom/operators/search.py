@@ -1,7 +1,15 @@
-"""Literal, fuzzy and symbol-aware search over nodes, and similarity search over vectors. Ties always break on node order."""
+"""Literal, fuzzy and symbol-aware search over nodes, and similarity search over vectors. Ties always break on node order.
+
+Terms and queries are what somebody asked: they meet all nodes in blocks of at most ``ASKED``, each of which is broadcast.
+Only the best rows of each task go to the exchange that ranks them (Spark limits groups before a ranking window).
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,18 +18,32 @@ from graphloom.functions import vector as V
 from graphloom.operators.graph import ranked
 
 
+#: Terms or queries in a block: some MB with their vectors.
+ASKED = 2_000
+
+
+def in_blocks(asked: DataFrame, key: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What run gives for all of asked, which it gets in blocks that may be broadcast."""
+    blocks = max(1, math.ceil(asked.count() / ASKED))
+    parts = [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == k) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [run(F.broadcast(part)) for part in parts])
+
+
 def grep(nodes: DataFrame, terms: DataFrame, fuzzy_n: int = 3) -> DataFrame:
     """For terms(term): the best literal hit, or up to fuzzy_n fuzzy hits where there is none; (term, node_id, score, mode, rank).
-    nodes: node_id, name, signature, grep_text, call_centrality, near, node_ord. terms are a stated query set and broadcast."""
-    t = F.broadcast(terms.select(F.lower(T.strip(F.col("term"))).alias("t"), "term").filter("t != ''").distinct())
-    hits = nodes.join(t, F.contains(F.lower("grep_text"), F.col("t")))
-    literal = hits.withColumn("score", T.literal_rank(F.col("t"), F.col("node_id"), F.col("name"), F.col("signature"), F.col("call_centrality"), F.col("near")))
-    best = ranked(literal, ["term"], F.desc("score"), F.col("node_ord"), n=1).withColumn("mode", F.lit("literal"))
-    missing = F.broadcast(t.join(best.select("term"), "term", "left_anti"))
-    fuzzy = nodes.join(missing, F.length("t") > 0).withColumn("score", T.fuzzy_rank(F.col("t"), F.col("name"), F.col("signature"), F.col("call_centrality"))).filter("score > 0")
-    some = ranked(fuzzy, ["term"], F.desc("score"), F.col("node_ord"), n=fuzzy_n).withColumn("mode", F.lit("fuzzy"))
+    nodes: node_id, name, signature, grep_text, call_centrality, near, node_ord."""
     columns = ["term", "node_id", "node_ord", "score", "mode", "rank"]
-    return best.select(*columns).unionByName(some.select(*columns))
+
+    def block(t: DataFrame) -> DataFrame:
+        hits = nodes.join(t, F.contains(F.lower("grep_text"), F.col("t")))
+        literal = hits.withColumn("score", T.literal_rank(F.col("t"), F.col("node_id"), F.col("name"), F.col("signature"), F.col("call_centrality"), F.col("near")))
+        best = ranked(literal, ["term"], F.desc("score"), F.col("node_ord"), n=1).withColumn("mode", F.lit("literal"))
+        missing = F.broadcast(t.join(best.select("term"), "term", "left_anti"))
+        fuzzy = nodes.join(missing, F.length("t") > 0).withColumn("score", T.fuzzy_rank(F.col("t"), F.col("name"), F.col("signature"), F.col("call_centrality"))).filter("score > 0")
+        some = ranked(fuzzy, ["term"], F.desc("score"), F.col("node_ord"), n=fuzzy_n).withColumn("mode", F.lit("fuzzy"))
+        return best.select(*columns).unionByName(some.select(*columns))
+
+    return in_blocks(terms.select(F.lower(T.strip(F.col("term"))).alias("t"), "term").filter("t != ''").distinct(), "term", block)
 
 
 def symbol_grep(nodes: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
@@ -32,15 +54,19 @@ def symbol_grep(nodes: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
     return ranked(fused, ["whole"], F.desc("fused"), F.col("node_ord"), n=n).select(F.col("whole").alias("term"), "node_id", "fused", "rank")
 
 
+def _compared(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, sim) of all items(id, vector) with each of a block of queries(qid, query), where it is above 0."""
+    scored = items.filter(F.size("vector") > 0).withColumn("v", V.as_double(F.col("vector"))).join(queries, F.size("vector") == F.size("query"))
+    return scored.select("qid", "id", V.cosine(F.col("v"), F.col("query")).alias("sim")).filter("sim > 0")
+
+
 def best_similarity(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """items(id, vector) with the highest cosine over the few queries(qid, query), a stated set that is broadcast; 0 and less is dropped."""
-    q = F.broadcast(queries.select("qid", V.as_double(F.col("query")).alias("query")))
-    scored = items.filter(F.size("vector") > 0).withColumn("v", V.as_double(F.col("vector"))).join(q, F.size("vector") == F.size("query"))
-    return scored.groupBy("id").agg(F.max(V.cosine(F.col("v"), F.col("query"))).alias("sim")).filter("sim > 0")
+    """items(id, vector) with the highest cosine over the queries(qid, query); 0 and less is dropped."""
+    q = queries.select("qid", V.as_double(F.col("query")).alias("query"))
+    return in_blocks(q, "qid", lambda block: _compared(items, block).groupBy("id").agg(F.max("sim").alias("sim"))).groupBy("id").agg(F.max("sim").alias("sim"))
 
 
 def top_similar(items: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
     """The n items closest to each query: (qid, id, sim, rank)."""
-    q = F.broadcast(queries.select("qid", V.as_double(F.col("query")).alias("query")))
-    scored = items.filter(F.size("vector") > 0).join(q, F.size("vector") == F.size("query")).withColumn("sim", V.cosine(V.as_double(F.col("vector")), F.col("query"))).filter("sim > 0")
-    return ranked(scored, ["qid"], F.desc(F.round("sim", 9)), F.col("id"), n=n).select("qid", "id", "sim", "rank")
+    q = queries.select("qid", V.as_double(F.col("query")).alias("query"))
+    return in_blocks(q, "qid", lambda block: ranked(_compared(items, block), ["qid"], F.desc(F.round("sim", 9)), F.col("id"), n=n).select("qid", "id", "sim", "rank"))
