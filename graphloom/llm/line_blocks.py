@@ -1,15 +1,19 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one for each block-level element's own text. What its element names as furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is a line of length 0, and so is
-text that mostly is links. A name counts as a whole, html, body, main, article and what holds them are never furniture by
-name, and neither is a block with most of the page's text, if no article is elsewhere. The lengths are summed over a sliding window of lines; the main text lies between the
-point where the sums surge and the point where they dive, for the stretch that holds most text. Lines of an
-``article`` or ``main`` element that the stretch touches belong to it to their ends, however short they are, and so
-do its sibling lines under the same parent when there is no such element.
+Markup is stripped to lines, one for each block-level element's own text, and each line gets a weight: its length, or
+0 if it is mostly links, or lies in what its element or names mark as furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments), or outside of the ``article`` or ``main`` element with most text
+if the page has one. A name counts as a whole; html, body, main, article and what holds them are never furniture by
+name, and neither is a block with most of the page's text, if no article is elsewhere.
+
+The weights are summed over sliding windows of lines. Where the sums reach a level is a surge, where they fall below it
+a dive. Within an article the text reaches from its first surge to its last dive; without one it is the stretch
+between a surge and a dive that holds most text. So short lines near long ones stay, such as headings and last words,
+and runs of very short ones at the ends go. On pages with little text the level is half of the largest sum.
 
 Defined results. Null, empty and markup-only html: empty text. Unclosed comments, scripts and elements end with the
-page. Repeated rows each give their row. Columns other than page_id, url and html are not read.
+page; a tag that does not end before the next unquoted ``<`` is text. Repeated rows each give their row. Columns other
+than page_id, url and html are not read. Time is linear in the length of a page.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +30,9 @@ from pyspark.sql import functions as F
 from graphloom.llm import textkit as tk
 
 WINDOW = 3
-#: Characters in a window of lines that make it text: a sentence or so.
+#: Characters in a window of lines that make it text: a sentence or so, and a few words in an article.
 SURGE = 60
+SURGE_INSIDE = 16
 #: Share of characters in links beyond which a line is a menu.
 LINKED = 0.6
 
@@ -49,7 +55,12 @@ SOFT_NAMES = frozenset("notice notices alert social copyright legal disclaimer".
 QUALIFIERS = frozenset("site page main top bottom global primary secondary box bar block list area section wrapper wrap container widget form link links button buttons item items posts post articles slot unit zone inner outer fixed sticky mobile desktop text body".split())
 NEVER = frozenset(("html", "body", "main", "article"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.DOTALL | re.IGNORECASE)
+# What follows a tag's name, up to its end: nothing is read on beyond a "<" outside of a quoted value.
+_REST = r"((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'](?=[^<>]*>))*+)>"
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg)\b{_REST}.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+){_REST}|<[!?/][^<>]*>",
+    re.DOTALL | re.IGNORECASE,
+)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
@@ -79,14 +90,61 @@ def _furniture(name: str, attributes: str, in_root: bool) -> str:
     return "soft" if words & SOFT_NAMES else ""
 
 
-def lines_of(page: str) -> list[tuple[str, float, bool, int, int]]:
-    """(text, share of link characters, furniture, number of the root element or 0, number of the parent) of each line in page order."""
-    out: list[tuple[str, float, bool, int, int]] = []
-    stack: list[tuple[str, str, int, int]] = []  # name, furniture, root, own number
-    named: list[dict[int, int]] = []  # of each line, the elements around it that their names mark, and the roots that these are in
-    exempt: set[int] = set()
+class Line(NamedTuple):
+    text: str
+    linked: float  # share of its characters in links
+    furniture: bool
+    root: int  # number of the article or main element it lies in, or 0
+
+
+class Open(NamedTuple):
+    """An open element, with what it has from those around it."""
+
+    name: str
+    furniture: bool
+    soft: bool  # furniture where mostly links
+    named: int  # number of the closest element that its names mark, or -1
+    root: int
+    link: bool
+
+
+_PAGE = Open("", False, False, -1, 0, False)
+
+
+class _Named:
+    """Elements that their names mark as furniture: the marked one around each, whether it lies in a root, and whether it is no furniture for all that."""
+
+    def __init__(self) -> None:
+        self.above: list[int] = []
+        self.inside: list[bool] = []
+        self.exempt: list[bool] = []
+
+    def add(self, around: Open) -> int:
+        self.above.append(around.named)
+        self.inside.append(around.root > 0)
+        self.exempt.append(False)
+        return len(self.above) - 1
+
+    def holds_text(self, k: int) -> None:
+        while k >= 0 and not self.exempt[k]:
+            self.exempt[k], k = True, self.above[k]
+
+    def marks(self) -> list[bool]:
+        """Whether what lies in each element is furniture; an element stands behind those around it."""
+        out: list[bool] = []
+        for above, exempt in zip(self.above, self.exempt, strict=True):
+            out.append(not exempt or above >= 0 and out[above])
+        return out
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page in order."""
+    out: list[Line] = []
+    of_line: list[int] = []  # the marked element of each line
+    stack, named = [_PAGE], _Named()
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
-    linked = count = 0
+    linked = roots = 0
 
     def end_line() -> None:
         nonlocal linked
@@ -94,98 +152,123 @@ def lines_of(page: str) -> list[tuple[str, float, bool, int, int]]:
             # A character reference may be cut by nothing but markup: decode the joined text, then its white space.
             text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             if text:
-                block = next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", 0, 0))
-                parent = next((s[3] for s in reversed(stack) if s[0] not in INLINE and s[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "blockquote", "pre")), 0)
-                share = min(1.0, linked / len(text))
-                out.append((text, share, any(s[1] == "own" or s[1] == "soft" and share > LINKED for s in stack), block[2], parent))
-                named.append({s[3]: s[2] for s in stack if s[1] == "name"})
+                top, share = stack[-1], min(1.0, linked / len(text))
+                out.append(Line(text, share, top.furniture or top.soft and share > LINKED, top.root))
+                of_line.append(top.named)
             buffer.clear()
         linked = 0
 
     def text(raw: str) -> None:
         nonlocal linked
         buffer.append(raw)
-        if any(s[0] == "a" for s in stack):
+        if stack[-1].link:
             linked += len(raw.strip())
 
+    def close(k: int) -> None:
+        opened.subtract(s.name for s in stack[k:])
+        del stack[k:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        name = (m[3] or "").lower()
+        name, attributes = (m[4] or "").lower(), m[5] or ""
         if not name:
             continue
         if name not in INLINE:
             end_line()
-        elif name in ("br", "wbr", "img", "input"):
+        elif name in VOID:
             buffer.append(" " if name == "br" else "")
-            continue
         if name in VOID:
             continue
-        if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if k >= 0 and (name not in INLINE or all(s[0] in INLINE for s in stack[k:])):
-                del stack[k:]
-        else:
-            if name not in INLINE:
-                # A block starts: open paragraphs end, and with them the inline elements left open in them.
-                while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] in _CLOSES.get(name, ())):
-                    stack.pop()
-            attributes = m[4] or ""
-            count += 1
-            above = stack[-1][2] if stack else 0
-            kind = _furniture(name, attributes, above > 0)
-            if name in NEVER:
-                # Comments may be articles of their own, with names that say so: they don't speak for what holds them.
-                if name != "article" or kind != "name":
-                    exempt.update(s[3] for s in stack)
-                kind = kind if kind == "own" else ""
-            stack.append((name, kind, above or (count if name in ROOTS else 0), count))
-            if attributes.endswith("/") and name not in INLINE:
-                stack.pop()
+        if m[3]:
+            if opened[name] > 0:
+                k = len(stack) - 1
+                # An inline element ends within its block.
+                while stack[k].name != name and (name not in INLINE or stack[k].name in INLINE):
+                    k -= 1
+                if k and stack[k].name == name:
+                    close(k)
+            continue
+        if name not in INLINE:
+            # A block starts: open paragraphs end, and with them the inline elements left open in them.
+            while stack[-1].name in INLINE or stack[-1].name == "p" or stack[-1].name in _CLOSES.get(name, ()):
+                close(len(stack) - 1)
+        around = stack[-1]
+        kind = _furniture(name, attributes, around.root > 0)
+        if name in NEVER:
+            # Comments may be articles of their own, with names that say so: they don't speak for what holds them.
+            if name != "article" or kind != "name":
+                named.holds_text(around.named)
+            kind = kind if kind == "own" else ""
+        if attributes.endswith("/") and name not in INLINE:
+            continue
+        root = around.root
+        if not root and name in ROOTS:
+            root = roots = roots + 1
+        stack.append(Open(name, around.furniture or kind == "own", around.soft or kind == "soft", named.add(around) if kind == "name" else around.named, root, around.link or name == "a"))
+        opened[name] += 1
     text(page[at:])
     end_line()
     # Most of the text makes a block no furniture within an article, or where the page has none.
-    has_root = any(root and not bad and exempt.issuperset(around) for (_, _, bad, root, _), around in zip(out, named, strict=True))
-    held, total = Counter(), 0
-    for (line, share, bad, _, _), around in zip(out, named, strict=True):
-        if not bad and share <= LINKED:
-            total += len(line)
-            held.update({k: len(line) for k, inside in around.items() if inside or not has_root})
-    exempt.update(k for k, n in held.items() if n >= SURGE and 2 * n > total)
-    return [(line, share, bad or not exempt.issuperset(around), root, parent) for (line, share, bad, root, parent), around in zip(out, named, strict=True)]
-
-
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, linked: float = LINKED) -> str:
-    lines = lines_of(page or "")
-    weights = [0 if bad or share > linked else len(t) for t, share, bad, _, _ in lines]
+    marks = named.marks()
+    has_root = any(line.root and not line.furniture and not (k >= 0 and marks[k]) for line, k in zip(out, of_line, strict=True))
+    held, total = [0] * len(marks), 0
+    for line, k in zip(out, of_line, strict=True):
+        if not line.furniture and line.linked <= LINKED:
+            total += len(line.text)
+            if k >= 0:
+                held[k] += len(line.text)
+    for k in range(len(held) - 1, -1, -1):
+        if (named.inside[k] or not has_root) and held[k] >= SURGE and 2 * held[k] > total:
+            named.exempt[k] = True
+        if named.above[k] >= 0:
+            held[named.above[k]] += held[k]
+    marks = named.marks()
+    return [line._replace(furniture=line.furniture or k >= 0 and marks[k]) for line, k in zip(out, of_line, strict=True)]
+
+
+def stretches(weights: list[int], window: int, level: float) -> list[tuple[int, int]]:
+    """(surge, dive): lines from where the sums of a window before or behind reach the level to where they fall below it."""
+    total = [0]
+    for w in weights:
+        total.append(total[-1] + w)
+    out, n, since = [], len(weights), None
+    level = min(level, max(total[min(n, i + window)] - total[i] for i in range(n)) / 2) if n else level
+    for i in range(n):
+        is_text = max(total[min(n, i + window)] - total[i], total[i + 1] - total[max(0, i + 1 - window)]) >= max(level, 1)
+        if is_text and since is None:
+            since = i
+        if not is_text and since is not None:
+            out.append((since, i))
+            since = None
+    return out if since is None else [*out, (since, n)]
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, surge_inside: int = SURGE_INSIDE, linked: float = LINKED) -> str:
     # Furniture takes no part in the windows: an advert within an article is no dive.
-    rows = [k for k, w in enumerate(weights) if w]
-    if not rows:
-        return ""
-    sums = [sum(weights[j] for j in rows[i : i + window]) for i in range(len(rows))]
-    # Stretches from surge to dive; lines of different roots are not one stretch.
-    stretches: list[list[int]] = []
-    for i, k in enumerate(rows):
-        goes_on = stretches and i and stretches[-1][-1] == rows[i - 1] and lines[rows[i - 1]][3] == lines[k][3]
-        if sums[i] >= surge or weights[k] >= surge:
-            if goes_on:
-                stretches[-1].append(k)
-            else:
-                stretches.append([k])
-        elif goes_on and i + window <= len(rows) and lines[k][3]:
-            stretches[-1].append(k)
-    if not stretches:
-        stretches = [[k] for k in rows]
-    root_bonus = lambda s: (any(lines[k][3] for k in s), sum(weights[k] for k in s))
-    best = max(stretches, key=root_bonus)
-    root, parents = lines[best[0]][3], {lines[k][4] for k in best}
-    if root:
-        chosen = [k for k in range(len(lines)) if lines[k][3] == root and not lines[k][2]]
+    lines = [x for x in lines_of(page or "") if not x.furniture]
+    weight = lambda x: len(x.text) if x.linked <= linked else 0
+    of_root = Counter()
+    for x in lines:
+        if x.root:
+            of_root[x.root] += weight(x)
+    root = max(of_root, key=lambda r: (of_root[r], -r), default=0)
+    if of_root[root]:
+        own = [x for x in lines if x.root == root]
+        found = stretches([weight(x) for x in own], window, surge_inside)
+        chosen = own[found[0][0] : found[-1][1]]
     else:
-        chosen = [k for k in rows if best[0] <= k <= best[-1] or lines[k][4] in parents]
-    return "\n\n".join(lines[k][0] for k in chosen)
+        weights = [weight(x) for x in lines]
+        found = stretches(weights, window, surge)
+        a, b = max(found, key=lambda s: sum(weights[s[0] : s[1]]), default=(0, 0))
+        while a < b and not weights[a]:
+            a += 1
+        while a < b and not weights[b - 1]:
+            b -= 1
+        chosen = lines[a:b]
+    return "\n\n".join(x.text for x in chosen)
 
 
 def _extract(batches):
