@@ -161,23 +161,28 @@ def report(docs: DataFrame) -> DataFrame:
     return find(docs).select("doc_id", *counts, F.sha2(F.encode(F.expr(joined("base")), "UTF-8"), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
 
 
+#: Columns of sanitise's own, beside those of any table.
+_BASE, _KEY, _EXTRA = "__disclosure_base", "__disclosure_key", "__disclosure_extra"
+_TEXT = "coalesce(cast(text as string), '')"
+
 #: Base spans become their kind; generalised terms become what they look like; removed ones go.
 _STANDS_FOR = """case when s.kind != 'term' then concat('[', upper(s.kind), ']') when s.rank = 5 then ''
     when s.value rlike '^\\\\p{Lu}' then '[NAME]' else '[TERM]' end"""
-_CLEANED = f"""aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out),
-    named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), {_STANDS_FOR}))), a -> concat(a.out, substring(text, a.at + 1)))"""
+_CLEANED = f"""aggregate({{spans}}, named_struct('at', 0, 'out', ''), (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out),
+    named_struct('at', s.end, 'out', concat(a.out, substring({{text}}, a.at + 1, s.start - a.at), {_STANDS_FOR}))), a -> concat(a.out, substring({{text}}, a.at + 1)))"""
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced and disclosing terms generalised or removed in text; n_chars, if there, follows."""
     columns = docs.columns
-    own = _texts(docs)
-    found = written(with_base(own).filter(F.size("base") > 0).withColumn("masked", F.when(F.size("base") > 0, F.expr(MASKED))).drop("text"), "found")
-    extra = term_spans(own, found).withColumnRenamed("key", "__key")
-    marked = docs.withColumn("__base", F.expr(base_spans("coalesce(cast(text as string), '')")))
-    clean = marked.filter(F.size("__base") == 0).select(*columns)
-    dirty = marked.filter(F.size("__base") > 0).withColumn("__key", F.sha2("text", 256)).join(extra, "__key", "left")
-    dirty = dirty.withColumn("spans", F.expr("array_sort(if(extra is null, __base, concat(__base, extra)))")).withColumn("text", F.expr(_CLEANED))
+    # The patterns run over every text once: what is found is written beside the rows.
+    own = written(docs.withColumn(_BASE, F.expr(base_spans(_TEXT))).withColumn(_KEY, F.when(F.size(_BASE) > 0, F.sha2(F.expr(_TEXT), 256))), "marked")
+    found = own.filter(F.size(_BASE) > 0).select(F.expr(_TEXT).alias("text"), F.col(_BASE).alias("base"), F.col(_KEY).alias("key"))
+    extra = term_spans(_texts(docs), found.select("key", "base", F.expr(MASKED).alias("masked")))
+    # Rows without spans stay where they are.
+    dirty = own.filter(F.size(_BASE) > 0).join(extra.select(F.col("key").alias(_KEY), F.col("extra").alias(_EXTRA)), _KEY, "left")
+    cleaned = F.expr(_CLEANED.replace("{text}", _TEXT).replace("{spans}", f"array_sort(if(`{_EXTRA}` is null, `{_BASE}`, concat(`{_BASE}`, `{_EXTRA}`)))"))
+    dirty = dirty.withColumn("text", cleaned)
     if "n_chars" in columns:
         dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(dirty.select(*columns))
+    return own.filter(F.size(_BASE) == 0).select(*columns).unionByName(dirty.select(*columns))
