@@ -5,11 +5,13 @@ punctuation, digits, length, repetition of the word before), hashed to ``DIM`` c
 shapes in steps. Class log-count ratios scale the indicators, and a linear hinge-loss model is fitted to them by
 dual coordinate descent.
 
-The fit uses at most about ``max_rows`` labelled rows, those whose hash of doc_id is lowest; ratios and weights
-have ``DIM`` entries at any size of the corpus. Scoring reads every whole text once and shuffles nothing.
+The fit uses at most ``max_rows`` labelled rows, those whose hash of doc_id is lowest, and of a longer one
+``MAX_COLUMNS`` of its features, those whose hash is lowest; it runs in one task of that bounded size. Ratios and
+weights have ``DIM`` entries at any size of the corpus. Scoring reads every whole text once and shuffles nothing.
 
 Defined results. Null and empty texts have no n-grams and get the score of that. Labels that contradict each other
-for a doc_id count as the lower; null labels, and labels without a document, teach nothing. Repeated rows are each
+for a doc_id count as the lower, and of texts that share a doc_id the least teaches; null labels, and labels without
+a document, teach nothing. Repeated rows are each
 scored. If no row or one class only can be learned from, scores are that class's (0.5 without rows). An empty table
 gives an empty result. Columns other than doc_id and text are not read.
 """
@@ -24,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
+from graphloom.llm.common import written
 
 DIM = 1 << 18
 MAX_ROWS = 12_000
+MAX_COLUMNS = 8192
 _CLASS = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b >= 128 else 3 if 48 <= b <= 57 else 0 if b in (9, 10, 11, 12, 13, 32) else 4 for b in range(256)], np.uint8)
 
 
@@ -103,6 +107,7 @@ def _featurise(batches):
     for batch in batches:
         for lo, hi, data, offsets in tk.chunks(batch.column("text")):
             rows = features(data, offsets)
+            rows = [r if len(r) <= MAX_COLUMNS else np.sort(r[np.argsort(tk.mix(r.astype(np.uint64)), kind="stable")[:MAX_COLUMNS]]) for r in rows]
             yield pa.record_batch([batch.column("label").slice(lo, hi - lo), tk.list_array(np.concatenate(rows), np.array(list(map(len, rows))), pa.int32())], ["label", "columns"])
 
 
@@ -110,9 +115,10 @@ def sample_labels(labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> Da
     """(doc_id, label) of at most max_rows rows to learn from."""
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     own = own.filter(~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
-    n = own.count()
-    span = 1 << 30
-    return own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * min(1.0, max_rows / max(n, 1)))).limit(max_rows)
+    n, span = own.count(), 1 << 30
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    # Little more than max_rows rows are put in order.
+    return own.filter(place < int(span * min(1.0, 1.1 * max_rows / max(n, 1)))).orderBy(place, "doc_id").limit(max_rows)
 
 
 class Model:
@@ -127,18 +133,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.steep * out, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    # The sample is bounded by max_rows, so that it may be broadcast: only its documents' texts are read on.
-    chosen = F.broadcast(sample_labels(labels, label, max_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    taught = texts.select("text", "label").mapInArrow(_featurise, "label int, columns array<int>").limit(2 * max_rows).toArrow()
-    # Views of what arrived: the rows are the driver's largest data, and there is one copy of them.
-    rows = []
-    for chunk in taught.column("columns").chunks:
-        flat, offsets = tk.list_parts(chunk)
-        rows += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    positive = taught.column("label").to_numpy() == 1
-    # One order whatever the partitions were.
+def learn(rows: list[np.ndarray], positive: np.ndarray) -> Model:
+    """A model from feature rows and whether their label is 1, whatever order they come in."""
     order = sorted(range(len(rows)), key=lambda k: (bool(positive[k]), len(rows[k]), hashlib.blake2b(rows[k], digest_size=16).digest()))
     rows, positive = [rows[k] for k in order], positive[order]
     if not len(rows) or positive.all() or not positive.any():
@@ -149,24 +145,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return Model(weights, bias, ratios)
 
 
-def _predict(model, keep: list[str]):
+def _learn(batches):
+    rows, labels = [], []
+    for batch in batches:
+        flat, offsets = tk.list_parts(batch.column("columns"))
+        rows += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        labels += batch.column("label").to_pylist()
+    model = learn(rows, np.array(labels, np.int64) == 1)
+    yield pa.record_batch([pa.array([model.values.tobytes()]), pa.array([float(model.bias)]), pa.array([model.scale.tobytes()])], ["values", "bias", "scale"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
+    # The sample is bounded by max_rows, so that it may be broadcast: only its documents' texts are read on.
+    chosen = F.broadcast(sample_labels(labels, label, max_rows))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    taught = written(texts.select("text", "label").mapInArrow(_featurise, "label int, columns array<int>"), "taught")
+    found = taught.coalesce(1).mapInArrow(_learn, "values binary, bias double, scale binary").first()
+    if found is None:
+        return learn([], np.zeros(0, bool))
+    return Model(np.frombuffer(found["values"], np.float32), found["bias"], np.frombuffer(found["scale"], np.float32))
+
+
+def _predict(model, keep: list[str], into: str):
     def run(batches):
         m = model.value
         for batch in batches:
             for lo, hi, data, offsets in tk.chunks(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(m.scores(features(data, offsets)))], [*keep, "score"])
+                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(m.scores(features(data, offsets)))], [*keep, into])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep and score, the estimate that the label is 1, for every row."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """The columns of keep and, in the column into, the estimate that the label is 1, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys([*keep, "text"]))
     texts = docs.select(*columns).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
-    return texts.mapInArrow(_predict(shared, list(keep)), f"{schema}, score double")
+    return texts.mapInArrow(_predict(shared, list(keep), into), f"{schema}, {into} double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs with a score of at least that, with all their columns."""
+    return score(docs, model, tuple(docs.columns), "__svm_score").filter(F.col("__svm_score") >= least).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
