@@ -5,8 +5,10 @@ n-grams, those at its ends with the boundary (affixes), and how lexicons of the
 between labels are learned with the features' weights, and marginals come from forward-backward over whole texts.
 A document's language is the one with the highest mean marginal over its words with letters.
 
-The field is fitted to code-switched sequences that are joined from spans of at most about ``MAX_DOCS`` documents for
-each language. Texts of a batch go through forward-backward in step; scores of words are remembered in bounded memory.
+``label_words`` gives the words' own labels.
+
+The field is fitted to code-switched sequences that are joined from spans of at most ``MAX_DOCS`` documents for each of
+the ``MAX_LANGUAGES`` most frequent languages, those whose hash is lowest. Texts of a batch go through forward-backward in step; scores of words are remembered in bounded memory.
 
 Defined results. Null, empty and letterless texts: ``und`` with score 0. Rows with a null language teach nothing;
 if no row can be learned from, everything is ``und``. Repeated rows each have a result. An empty table gives an
@@ -15,9 +17,11 @@ empty result. Columns other than doc_id, text and (to learn) lang are not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
@@ -26,9 +30,11 @@ from graphloom.llm.nb_svm import held_out
 DIM = 1 << 16
 GRAMS = (1, 2, 3, 4, 5)
 MAX_DOCS = 400
+MAX_LANGUAGES = 1000
 LEXICON = 4000
 MEMORY_WORDS = 300_000
 UNKNOWN = "und"
+_WORD = re.compile(r"\S+")
 
 
 def word_features(words: list[str], lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,68 +193,116 @@ def split(text: str) -> list[str]:
     return text.lower().split()
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, span_words: int = 120) -> Field | None:
-    """A field from documents that are not held out and have a language: at most about max_docs for each."""
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, span_words: int = 120, max_languages: int = MAX_LANGUAGES) -> Field | None:
+    """A field from documents that are not held out and have a language: at most max_docs for each."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
     span = 1 << 30
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(span * min(1.0, max_docs / n)))) for lang, n in counts.items()], F.lit(0))
-    chosen = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share).limit(2 * max_docs * len(counts))
+    # Somewhat more than max_docs documents a language are put in order.
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(span * min(1.0, (1.2 * max_docs + 50) / n)))) for lang, n in counts.items()], F.lit(0))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))
+    chosen = own.withColumn("place", place).filter(F.col("place") < share)
     # A long text teaches with one span of its words, from anywhere in it.
     words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
     first = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size("w") - span_words, F.lit(0)) + 1).cast("int") + 1
-    spans = chosen.select("lang", "doc_id", words.alias("w")).filter(F.size("w") > 0).select("lang", F.array_join(F.slice("w", first, F.lit(span_words)), " ").alias("part"))
-    return train([(r[0], split(r[1])) for r in spans.collect()])
+    spans = chosen.select("lang", "place", "doc_id", words.alias("w")).filter(F.size("w") > 0).select("lang", "place", "doc_id", F.array_join(F.slice("w", first, F.lit(span_words)), " ").alias("part"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "part")
+    spans = spans.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_docs)
+    return train([(r[0], split(r[1])) for r in spans.select("lang", "part").collect()])
+
+
+class Labeller:
+    """Marginals of the words of many texts at a time; remembers the scores of words in bounded memory."""
+
+    def __init__(self, field: Field):
+        self.field, self.known, self.table = field, {}, np.zeros((0, len(field.languages)))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of all words, nan for one without letters: it says nothing about a language, and has no vote."""
+        if len(self.known) > MEMORY_WORDS:
+            self.known, self.table = {}, self.table[:0]
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
+            fresh = self.field.word_scores(new)
+            fresh[[k for k, w in enumerate(new) if not (w.isalpha() or any(map(str.isalpha, w)))]] = np.nan
+            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, fresh])
+            at = list(map(self.known.__getitem__, words))
+        return self.table[np.array(at, np.int64)]
+
+    def marginals(self, texts: list[list[str]]):
+        """Yields (numbers of texts, marginals as text x step x label, steps inside the text, steps with a vote)."""
+        scores = self.scores([w for t in texts for w in t])
+        lengths = np.array(list(map(len, texts)))
+        voting = ~np.isnan(scores[:, 0]) if len(scores) else np.zeros(0, bool)
+        scores[~voting] = 0.0
+        first = np.cumsum(lengths) - lengths
+        for rows, psi, inside in _segments(scores, lengths):
+            use = inside.copy()
+            use[inside] = voting[(first[rows][:, None] + np.arange(psi.shape[1]))[inside]]
+            yield rows, marginals(psi, self.field.transition)[0], inside, use
+
+
+def _texts(batch: pa.RecordBatch):
+    for lo, hi, data, offsets in tk.chunks(batch.column("text")):
+        raw = data.tobytes()
+        yield batch.slice(lo, hi - lo), [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def _label(shared):
     def run(batches):
         field = shared.value
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(field.languages) if field else 1))
+        labeller = Labeller(field) if field else None
         for batch in batches:
-            for lo, hi, data, offsets in tk.chunks(batch.column("text")):
-                part = batch.slice(lo, hi - lo)
-                raw = data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                docs = [split(t) for t in texts]
-                if field is None:
-                    yield pa.record_batch([part.column("doc_id"), pa.array([UNKNOWN] * len(docs)), pa.array([0.0] * len(docs))], ["doc_id", "lang_pred", "score"])
-                    continue
-                words = [w for d in docs for w in d]
-                lengths = np.array(list(map(len, docs)))
-                if len(known) > MEMORY_WORDS:
-                    known, table = {}, table[:0]
-                at = list(map(known.get, words))
-                if None in at:
-                    new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
-                    fresh = field.word_scores(new)
-                    # A word without letters says nothing about a language: no scores, and no vote.
-                    fresh[[k for k, w in enumerate(new) if not (w.isalpha() or any(map(str.isalpha, w)))]] = np.nan
-                    known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                    table = np.concatenate([table, fresh])
-                    at = list(map(known.__getitem__, words))
-                scores = table[np.array(at, np.int64)]
-                voting = ~np.isnan(scores[:, 0]) if len(scores) else np.zeros(0, bool)
-                scores[~voting] = 0.0
-                mean, votes = np.zeros((len(docs), len(field.languages))), np.zeros(len(docs))
-                first = np.cumsum(lengths) - lengths
-                for rows, psi, inside in _segments(scores, lengths):
-                    m, _ = marginals(psi, field.transition)
-                    use = inside.copy()
-                    use[inside] = voting[(first[rows][:, None] + np.arange(psi.shape[1]))[inside]]
-                    votes[rows] = use.sum(axis=1)
-                    mean[rows] = (m * use[:, :, None]).sum(axis=1) / np.maximum(1, votes[rows])[:, None]
-                best = mean.argmax(axis=1)
-                names = [field.languages[b] if v else UNKNOWN for b, v in zip(best, votes, strict=True)]
-                yield pa.record_batch([part.column("doc_id"), pa.array(names), pa.array(np.where(votes > 0, np.clip(mean.max(axis=1), 0, 1), 0.0))], ["doc_id", "lang_pred", "score"])
+            for part, texts in _texts(batch):
+                names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                if labeller:
+                    mean, votes = np.zeros((len(texts), len(field.languages))), np.zeros(len(texts))
+                    for rows, m, _, use in labeller.marginals(list(map(split, texts))):
+                        votes[rows] = use.sum(axis=1)
+                        mean[rows] = (m * use[:, :, None]).sum(axis=1) / np.maximum(1, votes[rows])[:, None]
+                    names = [field.languages[b] if v else UNKNOWN for b, v in zip(mean.argmax(axis=1), votes, strict=True)]
+                    score = np.where(votes > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
+                yield pa.record_batch([part.column("doc_id"), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def _label_each(shared):
+    def run(batches):
+        field = shared.value
+        labeller = Labeller(field) if field else None
+        for batch in batches:
+            for part, texts in _texts(batch):
+                ids = part.column("doc_id").to_pylist()
+                own = [[(m.start(), m[0]) for m in _WORD.finditer(t)] for t in texts]
+                out = []
+                if not labeller:
+                    out = [(i, k, at, w, UNKNOWN, 0.0) for i, words in zip(ids, own, strict=True) for k, (at, w) in enumerate(words)]
+                else:
+                    for rows, m, _, use in labeller.marginals([[w.lower() for _, w in words] for words in own]):
+                        best, most = m.argmax(axis=2), m.max(axis=2)
+                        for r, t in enumerate(rows.tolist()):
+                            out += [(ids[t], k, at, w, field.languages[best[r, k]] if use[r, k] else UNKNOWN, float(most[r, k]) if use[r, k] else 0.0) for k, (at, w) in enumerate(own[t])]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()), strict=True)], ["doc_id", "place", "start", "word", "lang", "probability"])
+
+    return run
+
+
+def label_words(docs: DataFrame, field: Field | None) -> DataFrame:
+    """A row for each word of each text: doc_id, place (its number in the text), start (code points), word, lang (its label; ``und`` without letters) and the label's probability.
+
+    Without a field every label is ``und``. Null and empty texts have no words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(_label_each(shared), "doc_id long, place long, start long, word string, lang string, probability double")
+
+
 def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
