@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
@@ -151,12 +151,16 @@ def _sums(batches):
         yield pa.record_batch([batch.column("doc_id"), batch.column("position"), batch.column("file"), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())], ["doc_id", "position", "file", "n_tokens", "ids_crc32"])
 
 
+def file_number(file: Column) -> Column:
+    return F.regexp_extract(file, "part-([0-9]+)-[^/]*$", 1).cast("long")
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """From the files, for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     own = read(spark, path).mapInArrow(_sums, "doc_id long, position long, file string, n_tokens long, ids_crc32 long")
-    # Spark numbers the files of a range exchange in order: part-00000 holds the lowest doc_ids.
+    # Spark numbers the files of a range exchange in order: part-00000 holds the lowest doc_ids. The numbers count, not the names, which grow beyond 99999.
     files = own.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    files = files.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    files = files.select("file", (F.sum("total").over(Window.orderBy(file_number(F.col("file")))) - F.col("total")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("position")) - F.col("n_tokens")
     return own.withColumn("inside", inside).join(files, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
