@@ -22,7 +22,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
@@ -98,7 +98,9 @@ def item_windows(items: list[tuple[int, str]], width: int = WINDOW) -> dict[int,
     return out
 
 
-STATE = "n_words long, hit binary, items array<long>"
+#: What a pass finds, under names that no table has.
+WORDS, HIT, ITEMS = "__wm_words", "__wm_hit", "__wm_items"
+STATE = f"{WORDS} long, {HIT} binary, {ITEMS} array<long>"
 
 
 def _scan(tables, keep: list[str]):
@@ -107,7 +109,7 @@ def _scan(tables, keep: list[str]):
     def run(batches):
         patterns = tables.value
         for batch in batches:
-            known = "hit" in batch.schema.names
+            known = HIT in batch.schema.names
             for lo, hi, data, offsets in tk.chunks(batch.column("text")):
                 data = tk.LOWER[data]
                 starts, ends, rows = tk.words(data, offsets, tk.ALNUM)
@@ -122,22 +124,21 @@ def _scan(tables, keep: list[str]):
                 part = batch.slice(lo, hi - lo)
                 bits = [np.packbits(hit[a:b]).tobytes() if b > a and hit[a:b].any() else b"" for a, b in zip(rows[:-1], rows[1:], strict=True)]
                 if known:
-                    for k, (old, its) in enumerate(zip(part.column("hit").to_pylist(), part.column("items").to_pylist(), strict=True)):
+                    for k, (old, its) in enumerate(zip(part.column(HIT).to_pylist(), part.column(ITEMS).to_pylist(), strict=True)):
                         if old:
                             bits[k] = (np.frombuffer(old, np.uint8) | np.frombuffer(bits[k] or bytes(len(old)), np.uint8)).tobytes()
                             items[k] |= set(its)
                 found = pa.array([sorted(items.get(k, ())) for k in range(hi - lo)], pa.list_(pa.int64()))
-                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(np.diff(rows)), pa.array(bits, pa.binary()), found], [*keep, "n_words", "hit", "items"])
+                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(np.diff(rows)), pa.array(bits, pa.binary()), found], [*keep, WORDS, HIT, ITEMS])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of docs: doc_id, the columns of keep, n_words, n_hit, items (sorted), contaminated."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int, kept: list[str]) -> tuple[DataFrame, Column, Column]:
+    """The columns of kept and what all passes find; the number of hit words, and whether that is contamination."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
-    kept = list(dict.fromkeys(["doc_id", *keep]))
     state = docs.select(*[F.col(c) for c in dict.fromkeys([*kept, "text"])]).withColumn("text", F.col("text").cast("string"))
     for k in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
@@ -146,11 +147,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         columns = kept if last else list(dict.fromkeys([*kept, "text"]))
         schema = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in columns)
         state = state.mapInArrow(_scan(tables, columns), f"{schema}, {STATE}")
-        state = state if last else written(state, "scanned")
-    n_hit = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.length("hit")), F.lit(0).cast("long"), lambda a, i: a + F.bit_count(F.conv(F.hex(F.substring("hit", i, F.lit(1))), 16, 10).cast("int"))), F.lit(0).cast("long"))
-    n_hit = F.when(F.length("hit") > 0, n_hit).otherwise(F.lit(0).cast("long"))
-    out = state.select(*kept, "n_words", n_hit.alias("n_hit"), "items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        if not last:
+            state = written(state, "scanned")
+            tables.destroy()
+    n_hit = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.length(HIT)), F.lit(0).cast("long"), lambda a, i: a + F.bit_count(F.conv(F.hex(F.substring(HIT, i, F.lit(1))), 16, 10).cast("int"))), F.lit(0).cast("long"))
+    n_hit = F.when(F.length(HIT) > 0, n_hit).otherwise(F.lit(0).cast("long"))
+    return state, n_hit, (n_hit > 0) & (20 * n_hit >= F.col(WORDS))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 4_000_000) -> DataFrame:
+    """For each row of docs: doc_id, n_words, n_hit, items (sorted), contaminated."""
+    state, n_hit, contaminated = _scanned(docs, benchmark, window, block_chars, ["doc_id"])
+    return state.select("doc_id", F.col(WORDS).alias("n_words"), n_hit.alias("n_hit"), F.col(ITEMS).alias("items"), contaminated.alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    state, _, contaminated = _scanned(docs, benchmark, window, block_chars, docs.columns)
+    return state.filter(~contaminated).select(*docs.columns)
 
 
 def items_digest(items: list[int]) -> str:
