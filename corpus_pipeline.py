@@ -16,20 +16,24 @@ from graphloom.llm.queries import tokenizer_file
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = nb_svm.fit(docs, table(spark, sf_dir, "labels"))
-    return nb_svm.score(docs, model, keep=tuple(docs.columns)).filter(F.col("score") >= 0.5).select(*docs.columns)
+    return nb_svm.accepted(docs, nb_svm.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
-    gone = chosen_path.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more. Of rows that share a doc_id one stays; those without one all stay."""
+    found = written(chosen_path.near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
+    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated, "doc_id", "left_semi")
+    once = again.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.min_by(F.struct(*again.columns), F.xxhash64(*again.columns)).alias("__row"))
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("__row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contract does not call contaminated."""
-    found = wu_manber.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    return wu_manber.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("personal data", personal_data), ("encoding", encoding)]
 
-#: A fitted model and keyed hashes are beyond SQL; tests/llm compares the stages with brute force.
+#: A fitted model and keyed hashes are beyond SQL; tests/llm compares each stage with a brute-force version on a small table.
 ORACLE_SQL = None
 
 
