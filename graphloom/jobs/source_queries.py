@@ -33,12 +33,12 @@ def sources(spark, d) -> DataFrame:
 UNION ALL SELECT path || '::P' || k || '.make', 'FUNCTION', 'P' || k, line + 2, line + 3, '(self, n)', NULL FROM parts
 UNION ALL SELECT path || '::C' || k, 'CONSTANT', NULL, line + 4, line + 4, NULL, NULL FROM parts""")
 def source_entities(spark, d):
-    return P.entities(P.parse(sources(spark, d))).select("node_id", "type", "class_name", "start_line", "end_line", "signature", "doc")
+    return P.entities(C.parsed_once(sources(spark, d))).select("node_id", "type", "class_name", "start_line", "end_line", "signature", "doc")
 
 
 @query(f"WITH {_PARTS} SELECT path || '::P' || k || '.make' AS caller_id, 'P' || k AS class_name, unnest(['len', 'helper_' || CAST(k % 5 AS VARCHAR)]) AS symbol FROM parts UNION ALL SELECT DISTINCT path, CAST(NULL AS VARCHAR), 'int' FROM parts")
 def source_calls(spark, d):
-    return P.calls(P.parse(sources(spark, d))).select("caller_id", "class_name", "symbol")
+    return P.calls(C.parsed_once(sources(spark, d))).select("caller_id", "class_name", "symbol")
 
 
 @query(f"WITH {_PARTS} SELECT path || '::P' || k AS node_id, 'Base' || CAST(k % 7 AS VARCHAR) AS base FROM parts")
@@ -48,13 +48,13 @@ def source_bases(spark, d):
 
 @query(f"WITH {_PARTS} SELECT DISTINCT path AS src, before AS dst FROM parts WHERE before IN (SELECT path FROM parts)")
 def source_relative_imports(spark, d):
-    return P.relative_imports(P.parse(sources(spark, d)))
+    return P.relative_imports(C.parsed_once(sources(spark, d)))
 
 
 @query(f"WITH {_PARTS} SELECT DISTINCT path AS import_id, 'os' AS name, CAST(NULL AS VARCHAR) AS file_path FROM parts")
 def source_absolute_imports(spark, d):
     """No file here is called os, so each of these imports leads outside."""
-    parsed = P.parse(sources(spark, d))
+    parsed = C.parsed_once(sources(spark, d))
     return R.absolute_imports(P.imported_names(parsed), P.modules(parsed))
 
 
@@ -65,7 +65,7 @@ UNION ALL SELECT path || '::P' || k || '.make', concat_ws(chr(10), 'Type: FUNCTI
 UNION ALL SELECT path || '::C' || k, 'Type: CONSTANT' || chr(10) || 'Name: C' || k, 'Type: CONSTANT' || chr(10) || 'Name: C' || k FROM parts)
 SELECT node_id, skeleton, CASE WHEN text = skeleton THEN text ELSE text || chr(10) || chr(10) || skeleton END AS passage FROM s""")
 def semantic_skeleton(spark, d):
-    own = P.entities(P.parse(sources(spark, d)))
+    own = P.entities(C.parsed_once(sources(spark, d)))
     own = own.withColumn("text", T.embedding_text(F.col("type"), F.col("name"), F.col("class_name"), F.array().cast("array<string>"), F.col("doc")))
     parts = [F.col(c) for c in ("chunk", "text", "class_name", "file_path")]
     return own.select("node_id", K.skeleton(*parts).alias("skeleton"), K.rerank_passage(*parts).alias("passage"))

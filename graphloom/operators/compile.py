@@ -17,6 +17,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import resolve as R
 from graphloom.sources import python_source as P
 from graphloom.sources.store import stored
+from graphloom.sources.workspace import dealt
 
 NODE = ["node_id", "type", "name", "file_path", "class_name", "is_method", "start_line", "end_line", "signature", "doc", "body_hash", "chunk", "text", "node_ord"]
 
@@ -25,7 +26,7 @@ def parsed_once(files: DataFrame) -> DataFrame:
     """Facts of files (rel_path, source), parsed once and kept: nodes and all kinds of edges are made from them."""
     once = files.filter("rel_path is not null").groupBy("rel_path").agg(F.max("source").alias("source"))
     # A file is parsed by one task, and tasks get like numbers of files, however few their bytes are.
-    return stored(P.parse(once.repartition("rel_path")), "facts")
+    return stored(P.parse(dealt(once, "rel_path")), "facts")
 
 
 def entity_nodes(facts: DataFrame) -> DataFrame:

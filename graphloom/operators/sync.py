@@ -11,6 +11,7 @@ from graphloom.functions import text as T
 from graphloom.operators import compile as C
 from graphloom.sources import python_source as P
 from graphloom.sources.store import stored
+from graphloom.sources.workspace import dealt
 
 
 def changes(tracked: DataFrame, current: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def facts_after(files: DataFrame, tracked: DataFrame, facts: DataFrame | None) -
     # A file that was tracked, but of which nothing is known, is parsed as well.
     unknown = files.join(facts.select("rel_path").distinct(), "rel_path", "left_anti").select("rel_path")
     parsed = change.filter("change != 'deleted'").select("rel_path").unionByName(unknown).distinct()
-    fresh = P.parse(files.join(parsed, "rel_path", "left_semi").groupBy("rel_path").agg(F.max("source").alias("source")).repartition("rel_path"))
+    changed = files.join(parsed, "rel_path", "left_semi").groupBy("rel_path").agg(F.max("source").alias("source"))
+    fresh = P.parse(dealt(changed, "rel_path"))
     kept = facts.join(change.select("rel_path").unionByName(parsed).distinct(), "rel_path", "left_anti")
     return stored(kept.select(*facts.columns).unionByName(fresh.select(*facts.columns)), "facts")
 

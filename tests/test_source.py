@@ -31,6 +31,7 @@ def parsed(spark, tmp_path):
     for name, text in FILES.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
+    (tmp_path / "pkg/again").symlink_to(tmp_path, target_is_directory=True)
     (tmp_path / "binary.py").write_bytes(b"\xff\xfe\xff")
     return P.parse(scan(spark, str(tmp_path)))
 
