@@ -74,7 +74,7 @@ def recall_of(trees: int, similarity: float, depth: int) -> float:
     return found
 
 
-def trees_for(recall: float, similarity: float = 0.8, depth: int = 6) -> int:
+def trees_for(recall: float, similarity: float = 0.8, depth: int = 5) -> int:
     """Trees so that a pair at the given similarity meets in one of them with probability recall, if leaves lie at that depth."""
     most = recall_of(1 << 20, similarity, depth)
     if recall > most:
@@ -335,7 +335,8 @@ def candidates(signatures: DataFrame, trees: int, leaf: int, depth: int) -> tupl
         sizes = rows.groupBy("node").count().filter("count > 1")
         large = written(sizes.filter(F.col("count") > leaf), "large")
         more = not large.isEmpty()
-        known = rows.join(sizes.filter(F.col("count") <= leaf), "node")
+        # One plan at every size: the sizes of nodes grow with the data, and are never broadcast.
+        known = rows.join(sizes.filter(F.col("count") <= leaf).hint("merge"), "node")
         pairs = [_compare(known, "node")]
         if more:
             big = written(rows.join(large.select("node"), "node"), "nodes")
@@ -456,7 +457,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, width: int, own: bool, broad
     return written(sets.select("doc_id", F.size("shingles").alias("n"), "shingles", "fine"), "sets")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.995, leaf: int = 24, depth: int = 6, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.995, leaf: int = 24, depth: int = 5, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(texts.mapInArrow(_sets(width, True), "doc_id long, n_shingles long, set_id binary, signature binary"), "signed")
