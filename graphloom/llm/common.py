@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 WHITE_SPACE = bytes([9, 10, 11, 12, 13, 32])
 
@@ -38,3 +43,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows in a range of ``sums_before``: as many ranges as a shuffle has parts, unless these would be longer than the second number.
+RANGE_ROWS = (50_000, 2_000_000)
+
+
+def sums_before(df: DataFrame, order: list[Column], values: dict[str, str]) -> DataFrame:
+    """df, a written table, with a column for each of values (new name: column of whole numbers): its sum over all rows that stand before in order.
+
+    The order is that of ranges which tasks add up by themselves; the ranges' totals, one row each, are added up apart.
+    So no key's rows come together, and none of the columns of order needs many values. Rows that tie share no sum:
+    order has to say which comes first, or it does not matter.
+    """
+    rows, spark = df.count(), df.sparkSession
+    ranges = max(1, min(math.ceil(rows / RANGE_ROWS[0]), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANGE_ROWS[1]))))
+    names = list(values)
+
+    def run(batches):
+        so_far, part = [0] * len(names), TaskContext.get().partitionId()
+        for batch in batches:
+            added = []
+            for k, name in enumerate(names):
+                own = batch.column(values[name]).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(own) + so_far[k]
+                added.append(pa.array(ends - own))
+                so_far[k] = int(ends[-1]) if len(ends) else so_far[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added, pa.array(np.full(batch.num_rows, part, np.int32))], names=[*batch.schema.names, *names, "__range"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` long" for n in names), "__range int"])
+    summed = written(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "ranges")
+    totals = summed.groupBy("__range").agg(*[F.sum(values[n]).alias(f"__{n}") for n in names])
+    window = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(window), F.lit(0)).alias(f"__{n}") for n in names])
+    return summed.join(starts, "__range").select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
