@@ -7,9 +7,6 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +55,11 @@ def sums_before(df: DataFrame, order: list[Column], values: dict[str, str]) -> D
     """
     rows, spark = df.count(), df.sparkSession
     ranges = max(1, min(math.ceil(rows / RANGE_ROWS[0]), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANGE_ROWS[1]))))
-    names = list(values)
-
-    def run(batches):
-        so_far, part = [0] * len(names), TaskContext.get().partitionId()
-        for batch in batches:
-            added = []
-            for k, name in enumerate(names):
-                own = batch.column(values[name]).to_numpy(zero_copy_only=False).astype(np.int64)
-                ends = np.cumsum(own) + so_far[k]
-                added.append(pa.array(ends - own))
-                so_far[k] = int(ends[-1]) if len(ends) else so_far[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added, pa.array(np.full(batch.num_rows, part, np.int32))], names=[*batch.schema.names, *names, "__range"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` long" for n in names), "__range int"])
-    summed = written(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "ranges")
-    totals = summed.groupBy("__range").agg(*[F.sum(values[n]).alias(f"__{n}") for n in names])
-    window = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(window), F.lit(0)).alias(f"__{n}") for n in names])
-    return summed.join(starts, "__range").select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
+    ranged = written(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"__{n}") for n, v in values.items()])
+    over_ranges = before(Window.orderBy("__range"))  # a row for each range
+    starts = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(over_ranges), F.lit(0)).alias(f"__{n}") for n in values])
+    within = before(Window.partitionBy("__range").orderBy(*order))
+    summed = ranged.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(n) for n, v in values.items()])
+    return summed.join(starts, "__range").select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in values])

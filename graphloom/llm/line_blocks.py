@@ -1,15 +1,15 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block-level element's own text, and each line gets a weight: its length, or
-0 if it is mostly links, or lies in what its element or names mark as furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments), or outside of the ``article`` or ``main`` element with most text
-if the page has one. A name counts as a whole; html, body, main, article and what holds them are never furniture by
-name, and neither is a block with most of the page's text, if no article is elsewhere.
+0 if it is mostly links. Lines in what its element or names mark as furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments) are left out. A name counts as a whole; html, body, main, article
+and what holds them are never furniture by name, and neither is a block with most of the page's text, if no article is
+elsewhere.
 
 The weights are summed over sliding windows of lines. Where the sums reach a level is a surge, where they fall below it
-a dive. Within an article the text reaches from its first surge to its last dive; without one it is the stretch
-between a surge and a dive that holds most text. So short lines near long ones stay, such as headings and last words,
-and runs of very short ones at the ends go. On pages with little text the level is half of the largest sum.
+a dive. A surge in an ``article`` or ``main`` element makes the element text, from its first line to its last, however
+short they are; a page may have several such. Where no element of these kinds has text, it is the stretch between a
+surge and a dive that holds most. On pages, and on elements, with little text the level is half of the largest sum.
 
 Defined results. Null, empty and markup-only html: empty text. Unclosed comments, scripts and elements end with the
 page; a tag that does not end before the next unquoted ``<`` is text. Repeated rows each give their row. Columns other
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import textkit as tk
 
 WINDOW = 3
-#: Characters in a window of lines that make it text: a sentence or so, and a few words in an article.
+#: Characters in a window of lines that make it text: a sentence or so.
 SURGE = 60
-SURGE_INSIDE = 16
 #: Share of characters in links beyond which a line is a menu.
 LINKED = 0.6
 
@@ -44,13 +43,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Words of class, id or role that name furniture.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar "
-    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing related recommended "
-    "recommendations pagination pager search complementary contentinfo".split()
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing "
+    "pagination pager search complementary contentinfo".split()
 )
 #: Names that are furniture outside of the article only.
 OUTER_NAMES = frozenset("header head".split())
 #: Names that are furniture outside of the article, and in it where the line is mostly links.
-SOFT_NAMES = frozenset("notice notices alert social copyright legal disclaimer".split())
+SOFT_NAMES = frozenset("notice notices alert social copyright legal disclaimer related recommended recommendations".split())
 #: What a name may be joined with and still say the same: site-footer is a footer, no-sidebar is no sidebar.
 QUALIFIERS = frozenset("site page main top bottom global primary secondary box bar block list area section wrapper wrap container widget form link links button buttons item items posts post articles slot unit zone inner outer fixed sticky mobile desktop text body".split())
 NEVER = frozenset(("html", "body", "main", "article"))
@@ -246,21 +245,25 @@ def stretches(weights: list[int], window: int, level: float) -> list[tuple[int,
     return out if since is None else [*out, (since, n)]
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, surge_inside: int = SURGE_INSIDE, linked: float = LINKED) -> str:
+def reaches(weights: list[int], window: int, level: float) -> bool:
+    """Whether the sum of some window is at the level."""
+    return any(sum(weights[i : i + window]) >= level for i in range(len(weights)))
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, linked: float = LINKED) -> str:
     # Furniture takes no part in the windows: an advert within an article is no dive.
     lines = [x for x in lines_of(page or "") if not x.furniture]
-    weight = lambda x: len(x.text) if x.linked <= linked else 0
-    of_root = Counter()
-    for x in lines:
+    weights = [len(x.text) if x.linked <= linked else 0 for x in lines]
+    of_root: dict[int, list[int]] = {}
+    for x, w in zip(lines, weights, strict=True):
         if x.root:
-            of_root[x.root] += weight(x)
-    root = max(of_root, key=lambda r: (of_root[r], -r), default=0)
-    if of_root[root]:
-        own = [x for x in lines if x.root == root]
-        found = stretches([weight(x) for x in own], window, surge_inside)
-        chosen = own[found[0][0] : found[-1][1]]
+            of_root.setdefault(x.root, []).append(w)
+    heaviest = max(map(sum, of_root.values()), default=0)
+    if heaviest:
+        # The element with most text, and all others that have a surge of their own.
+        roots = {r for r, own in of_root.items() if sum(own) == heaviest or reaches(own, window, surge)}
+        chosen = [x for x in lines if x.root in roots]
     else:
-        weights = [weight(x) for x in lines]
         found = stretches(weights, window, surge)
         a, b = max(found, key=lambda s: sum(weights[s[0] : s[1]]), default=(0, 0))
         while a < b and not weights[a]:

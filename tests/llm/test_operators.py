@@ -350,13 +350,44 @@ def test_long_advert_beside_a_short_article():
     assert line_blocks.main_text(f"<body><div class=ad>{STORY[0]}</div><article><h1>Short</h1><p>Tiny.</article>") == "Short\n\nTiny."
 
 
-def test_surge_and_dive_decide_what_of_an_article_is_text():
+def test_articles_stay_whole():
     story = "".join(f"<p>{p}</p>" for p in STORY)
-    page = f"<article><p>Fr</p><p>En</p><p>De</p><p>It</p><h1>Title</h1>{story}<p>Fin.</p><p>Mail</p><p>Pin</p><p>Save</p><p>Next</p></article>"
-    found = line_blocks.main_text(page)
-    assert found == "\n\n".join(["It", "Title", *(p.strip() for p in STORY), "Fin.", "Mail"])
-    # Without the level, everything in the article is text; with wider windows, more of its ends.
-    assert line_blocks.main_text(page, surge_inside=0).count("\n\n") == 12 and line_blocks.main_text(page, window=4) != found
+    whole = [p.strip() for p in STORY]
+    text = lambda page: line_blocks.main_text(page).split("\n\n")
+    # Short lines at the ends, a list at the end, references that are links.
+    ends = ["Fr", "En", "Title"]
+    assert text(f"<nav><a>M</a></nav><article><p>Fr</p><p>En</p><h1>Title</h1>{story}<ul>{''.join(f'<li>{x}' for x in ('Tea', 'Egg', 'Ham', 'Jam', 'Fig'))}</ul></article><footer>F</footer>") == [*ends, *whole, "Tea", "Egg", "Ham", "Jam", "Fig"]
+    links = [f"Reference {k}" for k in range(6)]
+    assert text(f"<article>{story}{''.join(f'<p><a href={k}>{x}</a></p>' for k, x in enumerate(links))}</article>") == [*whole, *links]
+    # Several articles, a short one with a sentence among them; one of links only is no text.
+    second = "A second article that is far shorter than the first one on this page."
+    assert text(f"<article>{story}</article><div><a href=1>More</a></div><article><h2>Next</h2><p>{second}</p></article><article><a href=2>{STORY[0]}</a></article>") == [*whole, "Next", second]
+    # A paragraph about what is related stays, links to it go; outside of the article both go.
+    assert text(f"<article>{story}<div class=related><p>{second}</p></div><div class=related><a href=1>See also this</a></div></article><div class=related><p>{second}</p></div>") == [*whole, second]
+
+
+def test_surge_and_dive_choose_where_no_article_is():
+    story = "".join(f"<p>{p}</p>" for p in STORY)
+    page = f"<div><a href=1>Home</a></div><div><p>Log in</p></div><div><a href=2>News</a></div><div><a href=3>Shop</a></div><h1>Title</h1>{story}<p>Fin.</p><div><a href=4>Next</a></div><div><a href=5>Last</a></div><div><p>Imprint</p></div>"
+    assert line_blocks.main_text(page) == "\n\n".join(["Title", *(p.strip() for p in STORY), "Fin."])
+    # With a window that spans the page, the rest of the page is text as well.
+    assert "Log in" in line_blocks.main_text(page, window=50)
+
+
+def test_given_pages_without_article_tags():
+    """The distribution alone finds most of what the articles hold, and hardly anything else; without it, all lines would be text."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    found = kept = wanted = everything = 0
+    for page in pages:
+        want = Counter(line_blocks.main_text(page).split("\n\n"))
+        bare = re.sub(r"<(/?)(article|main)\b", r"<\1div", page or "")
+        got = Counter(line_blocks.main_text(bare).split("\n\n"))
+        size = lambda lines: sum(len(x) * n for x, n in lines.items())
+        found, kept, wanted = found + size(got & want), kept + size(got), wanted + size(want)
+        everything += sum(len(x.text) for x in line_blocks.lines_of(bare) if not x.furniture)
+    assert found > 0.95 * wanted and found > 0.95 * kept and kept < everything
 
 
 def test_windows_equal_sums_by_definition():
@@ -697,11 +728,24 @@ def test_pipeline_stages_equal_brute_force_and_keep_clashing_columns(spark, tmp_
     model = nb_svm.fit(own, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     good = [(i, t) for i, t in docs if model.scores(nb_svm.features(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])))[0] >= 0.5]
     assert out.columns == own.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(good, key=key)
-    # Near duplicates: the documents whose least reachable doc_id is their own, each once.
-    least = least_reachable([(i, t or "") for i, t in docs if i is not None], width=5)
-    kept = Counter(i for i, (_, c) in least.items() if i == c) + Counter({None: 2})
+    # Near duplicates: each row is a document, whatever its doc_id; of those that reach each other the first stays.
+    ordered = sorted(docs, key=lambda r: (r[0] is None, r[0] or 0))
+    least = least_reachable([(k, t or "") for k, (_, t) in enumerate(ordered)], width=5)
+    groups = {}
+    for k, (_, c) in least.items():
+        groups.setdefault(c, []).append(ordered[k])
     out = stages["near duplicates"](spark, own, str(tmp_path))
-    assert out.columns == own.columns and Counter(r.doc_id for r in out.collect()) == kept
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == own.columns and len(got) == len(groups)
+    for rows_of in groups.values():
+        assert sum(got.count(r) for r in set(rows_of)) == 1 and any(r in got and r[0] == rows_of[0][0] for r in rows_of)
+    # Different texts under one id stay, near copies go whatever their ids are.
+    apart, copy = " ".join(words(60, 901)), " ".join(words(60, 902))
+    few = [(1, copy), (5, copy + " end"), (5, apart), (7, apart), (7, "quite another text under the same id"), (None, copy), (None, "no id"), (None, "no id")]
+    out = stages["near duplicates"](spark, spark.createDataFrame(few, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(1, copy), (5, apart), (7, "quite another text under the same id"), (None, "no id")], key=repr)
+    plain = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(few)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in stages["near duplicates"](spark, plain, str(tmp_path)).collect()) == [0, 2, 4, 6]
     # Contamination: the one document of which a twentieth or more is the item.
     out = stages["decontamination"](spark, own, str(tmp_path))
     assert out.columns == own.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(((i, t) for i, t in docs if i != 3000), key=key)
