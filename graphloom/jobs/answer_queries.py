@@ -9,8 +9,8 @@ from graphloom.jobs.queries import ORACLES, _asked, _grep_sql, _vectors, query
 from graphloom.jobs.source_queries import program
 from graphloom.jobs.tables import CENTRAL_SQL, graph, ranked_nodes
 from graphloom.operators import answer as A
+from graphloom.operators import delta as D
 from graphloom.operators import search as S
-from graphloom.operators import sync as Y
 
 #: A part's vector is the one with its number, if there is one; every hundredth vector asks.
 _SCORED = f"""{CENTRAL_SQL}, sim AS (SELECT x.vec_id AS node_ord, max(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS sim FROM embeddings x, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY x.vec_id),
@@ -41,7 +41,7 @@ def neighbours_ranked(spark, d):
 
 @query(f"""WITH {_SCORED}, c AS (SELECT anchor, -rank AS step, 'caller' AS role, node_id FROM r WHERE side = 'caller' AND rank <= 2 UNION ALL SELECT node_id, 0, 'anchor', node_id FROM nodes UNION ALL SELECT anchor, rank, 'callee', node_id FROM r WHERE side = 'callee' AND rank <= 2),
 f AS (SELECT a.anchor, b.node_id FROM r a JOIN r b ON a.side = 'callee' AND a.rank = 1 AND b.side = 'callee' AND b.rank = 1 AND b.anchor = a.node_id)
-SELECT * FROM c UNION ALL SELECT anchor, 3, 'downstream', node_id FROM f WHERE (anchor, node_id) NOT IN (SELECT (anchor, node_id) FROM c)""")
+SELECT * FROM c UNION ALL SELECT anchor, 3, 'downstream', node_id FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.anchor = f.anchor AND c.node_id = f.node_id)""")
 def call_chain_ranked(spark, d):
     """Two callers, the anchor, two callees and the best callee's best callee, for every node."""
     n = _with_vectors(spark, d)
@@ -69,5 +69,4 @@ def incremental_edges(spark, d):
     was = now.filter(kind > 0).withColumn("source", F.when(kind == 1, F.lit("def make(n):\n    return gone(n)\n")).otherwise(F.col("source"))).withColumn("mtime", F.when(kind == 1, 1.0).otherwise(2.0))
     gone = spark.createDataFrame([("gone.py", "def gone(n):\n    return n\n", 1.0)], "rel_path string, source string, mtime double")
     was = was.unionByName(gone)
-    facts = Y.facts_after(was, None, None)
-    return Y.synced(now, was.select(F.col("rel_path").alias("path"), "mtime"), facts)[2]
+    return D.synced(now, was.select(F.col("rel_path").alias("path"), "mtime"), D.built(was)).edges

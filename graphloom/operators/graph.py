@@ -27,6 +27,13 @@ def summary(nodes: DataFrame, edges: DataFrame, node_types: list[str], edge_type
     return F.broadcast(domain).join(found, ["kind", "label"], "left").select("kind", "label", F.coalesce("count", F.lit(0)).alias("n")).unionByName(totals)
 
 
+def folders(path: Column) -> Column:
+    """All folders that a path lies in, the topmost first."""
+    parts = F.split(path, "/")
+    within = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(F.size(parts) > 1, within).otherwise(F.array().cast("array<string>"))
+
+
 def folder_tree(files: DataFrame) -> DataFrame:
     """(src, dst, relationship) of folders and files of distinct paths."""
     parts = files.select("path").distinct().withColumn("p", F.split("path", "/"))

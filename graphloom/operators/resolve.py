@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources import python_source as P
+
 
 def registry(nodes: DataFrame) -> DataFrame:
     """(name, file_path): the file that defines a class or plain function of that name last."""
@@ -36,9 +38,11 @@ def bases(classes: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame
     return c.select("src", F.coalesce("c1", F.when(F.col("imported"), F.concat("there", F.lit("::"), "base"))).alias("dst")).filter("dst is not null").distinct()
 
 
-def absolute_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """imports(import_id, name) with file_path: the first of modules(module, file_path, file_ord) whose dotted name is the name or ends with it."""
-    parts = modules.withColumn("p", F.split("module", "[.]"))
-    suffixes = parts.select("file_path", "file_ord", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "."))).alias("name"))
+def absolute_imports(imports: DataFrame, modules: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """imports(import_id, name) with file_path: the first of modules(module, file_path, file_ord) whose dotted name is the name or ends with it.
+    With asked (name), the only names that are imported, other endings of modules are not grouped."""
+    suffixes = P.suffixes(modules)
+    if asked is not None:
+        suffixes = suffixes.join(asked, "name", "left_semi")
     first = suffixes.groupBy("name").agg(F.min_by("file_path", "file_ord").alias("file_path"))
     return imports.join(first, "name", "left").select("import_id", "name", "file_path")

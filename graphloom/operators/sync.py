@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import compile as C
-from graphloom.sources import python_source as P
 from graphloom.sources.store import stored
-from graphloom.sources.workspace import dealt
 
 
 def changes(tracked: DataFrame, current: DataFrame) -> DataFrame:
@@ -35,30 +32,6 @@ def with_cached_docs(functions: DataFrame, cache: DataFrame) -> DataFrame:
     return functions.join(known, "body_hash", "left").select("node_id", "body_hash", F.when(own, F.col("docstring")).otherwise(F.coalesce("doc", F.lit(""))).alias("docstring"), source.alias("docstring_source"))
 
 
-def facts_after(files: DataFrame, tracked: DataFrame, facts: DataFrame | None) -> DataFrame:
-    """What is known of files(rel_path, source, mtime) now: facts of those that have not changed since tracked(path, mtime), and new ones of the others.
-
-    Only changed files are parsed. Names resolve across files, so the graph is joined from all facts again: what a changed
-    file defines reaches unchanged callers, and nothing of deleted files stays.
-    """
-    if facts is None:
-        return C.parsed_once(files)
-    change = changes(tracked, files.select(F.col("rel_path").alias("path"), "mtime")).select(F.col("path").alias("rel_path"), "change")
-    # A file that was tracked, but of which nothing is known, is parsed as well.
-    unknown = files.join(facts.select("rel_path").distinct(), "rel_path", "left_anti").select("rel_path")
-    parsed = change.filter("change != 'deleted'").select("rel_path").unionByName(unknown).distinct()
-    changed = files.join(parsed, "rel_path", "left_semi").groupBy("rel_path").agg(F.max("source").alias("source"))
-    fresh = P.parse(dealt(changed, "rel_path"))
-    kept = facts.join(change.select("rel_path").unionByName(parsed).distinct(), "rel_path", "left_anti")
-    return stored(kept.select(*facts.columns).unionByName(fresh.select(*facts.columns)), "facts")
-
-
-def synced(files: DataFrame, tracked: DataFrame, facts: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, nodes, edges) after the changes: the same as of all files built anew."""
-    known = facts_after(files, tracked, facts)
-    return known, *C.graph_of(known)
-
-
 def embedded(nodes: DataFrame, before: DataFrame | None, embedder: Callable[[Column], Column]) -> DataFrame:
     """nodes with vector: the one of before(node_id, text, vector) where the text is the same, else the embedder's; none without text."""
     if before is None:

@@ -123,27 +123,46 @@ def class_bases(parsed: DataFrame) -> DataFrame:
     return parsed.filter("kind = 'CLASS'").select(_node_id().alias("node_id"), F.col("rel_path").alias("file_path"), F.explode("bases").alias("base")).distinct()
 
 
-def relative_imports(parsed: DataFrame) -> DataFrame:
-    """(src, dst) of relative imports of files that were parsed: of the module named, and of the symbol as a module; a file goes before a package."""
+def wanted_stems(parsed: DataFrame) -> DataFrame:
+    """(src, stem) of relative imports: the path, less its ending, of the module named, and of the symbol as a module."""
     found = parsed.filter("kind = 'IMPORT' and level > 0")
     folders = F.split("rel_path", "/")
     up = F.size(folders) - F.col("level")
     base = F.when(up >= 0, F.concat(F.slice(folders, F.lit(1), F.greatest(up, F.lit(0))), F.coalesce(F.split("module", "[.]"), F.array().cast("array<string>"))))
     stems = F.array(F.array_join(base, "/"), F.array_join(F.concat(base, F.array("name")), "/"))
-    wanted = found.select(F.col("rel_path").alias("src"), F.explode(stems).alias("stem")).filter("stem is not null").distinct()
+    return found.select(F.col("rel_path").alias("src"), F.explode(stems).alias("stem")).filter("stem is not null").distinct()
+
+
+def stems(parsed: DataFrame) -> DataFrame:
+    """(stem, dst, package) of files: their paths less the ending; a package's own file has the path of the package."""
     package = F.col("rel_path").rlike("(^|/)__init__[.]py$")
     stem = F.when(package, F.regexp_replace("rel_path", "/?__init__[.]py$", "")).otherwise(F.regexp_replace("rel_path", "[.]py$", ""))
-    known = parsed.filter("kind in ('FILE', 'ERROR')").select(stem.alias("stem"), F.col("rel_path").alias("dst"), package.alias("package"))
-    known = known.groupBy("stem").agg(F.min_by("dst", "package").alias("dst"))
+    return parsed.filter("kind in ('FILE', 'ERROR')").select(stem.alias("stem"), F.col("rel_path").alias("dst"), package.alias("package"))
+
+
+def met_stems(wanted: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(src, dst) of wanted(src, stem) that files have; a file goes before a package. Only files that are wanted are grouped."""
+    known = stems(parsed).join(wanted.select("stem").distinct(), "stem", "left_semi").groupBy("stem").agg(F.min_by("dst", "package").alias("dst"))
     return wanted.join(known, "stem").select("src", "dst").filter("src != dst").distinct()
 
 
+def relative_imports(parsed: DataFrame) -> DataFrame:
+    """(src, dst) of relative imports of files that were parsed."""
+    return met_stems(wanted_stems(parsed), parsed)
+
+
 def modules(parsed: DataFrame) -> DataFrame:
     """module, file_path, file_ord: dotted names of files; a package's own file has the package's name."""
     dotted = F.replace(F.regexp_replace(F.regexp_replace("rel_path", "[.]py$", ""), "(^|/)__init__$", ""), F.lit("/"), F.lit("."))
     return parsed.filter("kind in ('FILE', 'ERROR')").select(dotted.alias("module"), F.col("rel_path").alias("file_path"), F.col("rel_path").alias("file_ord"))
 
 
+def suffixes(modules: DataFrame) -> DataFrame:
+    """name, file_path, file_ord: modules(module, file_path, file_ord) under their dotted names and all endings of these."""
+    parts = modules.withColumn("p", F.split("module", "[.]"))
+    return parts.select("file_path", "file_ord", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "."))).alias("name"))
+
+
 def imported_names(parsed: DataFrame) -> DataFrame:
     """import_id (the importing file) and name of absolute imports: the module, and the symbol as a module of it."""
     found = parsed.filter("kind = 'IMPORT' and level = 0")
