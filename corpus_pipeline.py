@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import chosen_path, disclosure, merge_dropout, nb_svm, wu_manber
-from graphloom.llm.common import table, written
+from graphloom.llm.common import sums_before, table, written
 from graphloom.llm.queries import tokenizer_file
 
 
@@ -20,15 +20,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more. Of rows that share a doc_id one stays; those without one all stay."""
-    found = written(chosen_path.near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
-    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi")
-    once = again.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.min_by(F.struct(*again.columns), F.xxhash64(*again.columns)).alias("__row"))
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("__row.*"))
+    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more.
+
+    Each row is a document of its own, also where rows share a doc_id or have none: no text goes but for one that it resembles.
+    """
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return _without_copies(docs, "doc_id").select(*docs.columns)
+    # Rows get numbers in order of their ids, so that the first of a group is the one with the least.
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("nth"), F.lit(1).cast("long").alias("one"))
+    order = [F.asc_nulls_last("doc_id"), F.col("digest"), F.col("nth")]
+    numbered = written(sums_before(written(whole, "rows"), order, {"number": "one"}).select("row", F.col("number").alias("doc_id"), "text"), "numbered")
+    return _without_copies(numbered, "doc_id").select("row.*")
+
+
+def _without_copies(docs: DataFrame, key: str) -> DataFrame:
+    found = written(chosen_path.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text")).filter("not kept").select(F.col("doc_id").alias(key)), "near-duplicates")
+    return docs.join(found, key, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
