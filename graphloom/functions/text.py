@@ -36,17 +36,23 @@ def keyword_score(keywords: list[str], name: Column, signature: Column, doc: Col
     return sum(each[1:], each[0]) / F.lit(3.0 * len(keywords))
 
 
-def literal_rank(term: Column, node_id: Column, name: Column, signature: Column, centrality: Column, near: Column) -> Column:
+def folded(c: Column, cased: bool = False) -> Column:
+    """As it is compared: empty for null, in lower case unless case counts."""
+    c = F.coalesce(c, F.lit(""))
+    return c if cased else F.lower(c)
+
+
+def literal_rank(term: Column, node_id: Column, name: Column, signature: Column, centrality: Column, near: Column, cased: bool = False) -> Column:
     """Rank of a literal hit; near: the node's file is among the files of semantic hits."""
-    name, signature = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(signature, F.lit("")))
+    name, signature = folded(name, cased), folded(signature, cased)
     member = F.concat(F.lit("."), term)
     score = F.when(name == term, F.lit(100.0)).when(name.endswith(member) | node_id.contains(member), 90.0).when(name.contains(term), 70 + centrality).when(signature.contains(term), 35 + centrality).otherwise(50 + centrality)
     short = (F.length(term) <= 4) & (name != term) & signature.contains(term)
     return score - F.when(short, 25.0).otherwise(0.0) + F.when(near, 15.0).otherwise(0.0)
 
 
-def fuzzy_rank(term: Column, name: Column, signature: Column, centrality: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(signature, F.lit(""))))
+def fuzzy_rank(term: Column, name: Column, signature: Column, centrality: Column, cased: bool = False) -> Column:
+    text = folded(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(signature, F.lit(""))), cased)
     tokens = F.filter(F.regexp_extract_all(term, F.lit("[a-zA-Z0-9_]+"), F.lit(0)), lambda t: F.length(t) >= 2)
     hits = F.size(F.filter(tokens, lambda t: text.contains(t)))
     return F.when(text.contains(term), 80 + centrality).when(F.size(tokens) == 0, F.lit(0.0)).otherwise(hits / F.size(tokens) * 50 + centrality)

@@ -13,6 +13,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import resolve as R
 from graphloom.operators import search as S
 from graphloom.operators import sync as Y
+from graphloom.operators import vector_index as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,6 +185,34 @@ def grep_fuzzy(spark, d):
     return _grep(spark, d).filter("mode = 'fuzzy'").select("term", "node_id", "score", "rank")
 
 
+@query(ORACLES["grep_literal"])
+def grep_literal_indexed(spark, d):
+    """By posting lists: only nodes that have the rarest letter triples of a term are compared with it."""
+    own = ranked_nodes(spark, d)
+    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
+    found = S.grep(own, terms, postings=S.posted(own)).withColumn("score", F.round("score", 9))
+    return found.filter("mode = 'literal'").select("term", "node_id", "score")
+
+
+#: Vectors of terms: those with these numbers; a part's name has the vector with its number.
+_TERM_VECTORS = {"antique brass zz": 3, "zzz qqq": 5, "tin_22 rim": 8}
+_BOOSTED_SQL = _grep_sql([*_TERMS, *_TERM_VECTORS]).split("fuz AS (")[0]
+
+
+@query(f"""WITH {_BOOSTED_SQL} tv AS (SELECT v.term, e.embedding::DOUBLE[] AS q FROM (VALUES {", ".join(f"('{t}', {k})" for t, k in _TERM_VECTORS.items())}) AS v(term, k) JOIN embeddings e ON e.vec_id = v.k),
+alike AS (SELECT t.term, n.node_id, n.node_ord, 60 * list_dot_product(e.embedding::DOUBLE[], q) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)) + 1e-9) AS score
+  FROM central n JOIN embeddings e ON e.vec_id = n.node_ord JOIN tv ON true JOIN (SELECT term FROM t WHERE term NOT IN (SELECT term FROM best)) t ON t.term = tv.term),
+m AS (SELECT term, node_id, node_ord, max(score) AS score FROM (SELECT term, node_id, node_ord, score FROM fz UNION ALL SELECT term, node_id, node_ord, score FROM alike) GROUP BY ALL HAVING max(score) > 0)
+SELECT term, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY term ORDER BY round(score, 9) DESC, node_ord) AS rank FROM m QUALIFY rank <= 3""")
+def grep_fuzzy_vectors(spark, d):
+    """Fuzzy hits by letters or by the likeness of names to the term; names meet terms through an index of their vectors."""
+    own = ranked_nodes(spark, d)
+    vectors = _vectors(spark, d)
+    names = S.named(own, own.select("name", F.col("node_ord").alias("id")).join(vectors, "id").select("name", "vector"), vectors.join(F.broadcast(spark.createDataFrame(list(_TERM_VECTORS.items()), "term string, id long")), "id").select("term", "vector"))
+    found = S.grep(own, spark.createDataFrame([(t,) for t in [*_TERMS, *_TERM_VECTORS]], "term string").distinct(), names=names)
+    return found.filter("mode = 'fuzzy'").select("term", "node_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""WITH {NODES_SQL}, x AS (SELECT node_id, [p for p in string_split(replace(regexp_replace(node_id, '_[0-9]+$', ''), '::', '.'), '.') if p <> ''] AS p, regexp_replace(node_id, '_[0-9]+$', '') AS term FROM nodes)
 SELECT node_id, term AS text, 1.0::DOUBLE AS weight FROM x UNION ALL SELECT node_id, p[-1], 0.85 FROM x UNION ALL SELECT node_id, p[-2] || ' ' || p[-1], 0.8 FROM x UNION ALL SELECT node_id, p[-2], 0.35 FROM x""")
 def symbol_expansion(spark, d):
@@ -217,6 +246,12 @@ def cosine_topk(spark, d):
     return S.top_similar(_vectors(spark, d), _asked(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
+@query(ORACLES["cosine_topk"])
+def cosine_topk_indexed(spark, d):
+    """The same by cells of vectors: those whose bound says that they can't be among the 50 are not compared."""
+    return I.top_similar(I.build(_vectors(spark, d)), _asked(spark, d)).withColumn("sim", F.round("sim", 6))
+
+
 @query(f"WITH {_SIM_SQL} SELECT id, round(max(sim), 6) AS sim FROM s GROUP BY id HAVING max(sim) > 0")
 def max_sim_multi_query(spark, d):
     return S.best_similarity(_vectors(spark, d), _asked(spark, d)).withColumn("sim", F.round("sim", 6))
