@@ -22,6 +22,7 @@ from graphloom.functions import text as T
 from graphloom.functions import vector as V
 from graphloom.operators import graph as G
 from graphloom.operators import search as S
+from graphloom.sources.store import stored
 
 Scorer = Callable[[Column, Column], Column]
 FIRST, PRELIMINARY, FINAL, POOL = 50, 20, 2, 20
@@ -79,21 +80,31 @@ def chains(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, asked: DataFr
     return out.unionByName(more.select("ask", "anchor", F.lit(callees + 1).alias("step"), F.lit("downstream").alias("role"), "node_id"))
 
 
-def matches(nodes: DataFrame, edges: DataFrame, queries: DataFrame, terms: DataFrame, scorer: Scorer | None = None, each: int = FINAL) -> DataFrame:
+def matches(
+    nodes: DataFrame, edges: DataFrame, queries: DataFrame, terms: DataFrame, scorer: Scorer | None = None, each: int = FINAL, embedder: Callable[[Column], Column] | None = None, names: DataFrame | None = None, postings: S.Postings | None = None
+) -> DataFrame:
     """(block, no, rank, role, node_id, name, cite): for every term (block 1) and every query (block 2) its best anchors, with one caller and callee.
 
     Files of the queries' best nodes lift the terms' matches in them. Neighbours of a term's match rank by all queries,
-    those of a query's match by that query.
+    or where there is none by the term, if there is an embedder; those of a query's match by that query. With names(name,
+    vector) and an embedder, terms also meet names that are alike; with postings of the nodes, only nodes that may hold them.
     """
     best = semantic(nodes, queries, scorer)
     liked = best.join(nodes.select("node_id", "file_path"), "node_id").filter("coalesce(file_path, '') != ''").select("file_path", F.lit(True).alias("liked")).distinct()
     lifted = nodes.join(F.broadcast(liked), "file_path", "left").withColumn("near", F.coalesce("liked", F.lit(False)))
     asked_terms = terms.select("no", F.trim("term").alias("term")).filter("term != ''")
-    found = S.symbol_grep(lifted, asked_terms.select("term").distinct(), n=3).join(F.broadcast(asked_terms), "term")
+    known = None
+    if names is not None and embedder is not None:
+        parts = asked_terms.select(F.explode(T.expansions(F.col("term"))).alias("e")).select(F.col("e.text").alias("term")).distinct()
+        known = S.named(nodes, names, stored(parts.withColumn("vector", embedder(F.col("term"))), "term-vectors"))
+    found = S.symbol_grep(lifted, asked_terms.select("term").distinct(), n=3, names=known, postings=postings).join(F.broadcast(asked_terms), "term")
     hits = found.select(F.lit(1).alias("block"), "no", "rank", "node_id").unionByName(best.select(F.lit(2).alias("block"), "no", "rank", "node_id")).filter(F.col("rank") <= each)
     hits = hits.withColumn("ask", F.concat_ws("#", "block", "no"))
     own = queries.select(F.concat(F.lit("2#"), F.col("no")).alias("ask"), "query", "vector")
-    all_queries = asked_terms.select(F.concat(F.lit("1#"), F.col("no")).alias("ask")).join(F.broadcast(queries.select("query", "vector")), F.lit(True), "left")
+    all_queries = asked_terms.select(F.concat(F.lit("1#"), F.col("no")).alias("ask"), "term").join(F.broadcast(queries.select("query", "vector")), F.lit(True), "left")
+    if embedder is not None and queries.isEmpty():
+        all_queries = all_queries.select("ask", "term", F.col("term").alias("query"), embedder(F.col("term")).alias("vector"))
+    all_queries = all_queries.drop("term")
     chain = chains(nodes, edges, hits.select("ask", F.col("node_id").alias("anchor")).distinct(), own.unionByName(all_queries), scorer, 1, 1, 0)
     full = hits.select("ask", "block", "no", "rank", F.col("node_id").alias("anchor")).join(chain, ["ask", "anchor"])
     named = full.join(nodes.select("node_id", "name", T.cite(F.col("start_line"), F.col("end_line"), F.col("file_path")).alias("cite")), "node_id", "left")

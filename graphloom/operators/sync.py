@@ -57,3 +57,27 @@ def with_generated_docs(functions: DataFrame, cache: DataFrame, provider: Callab
     said = asked.select("body_hash", T.one_sentence(provider(F.col("x.name"), F.col("x.chunk"))).alias("doc")).filter(F.size(F.filter(F.split("doc", "\\s+"), lambda w: w != "")) >= least_words)
     grown = cache.select("body_hash", "doc").unionByName(stored(said, "generated"))
     return with_cached_docs(functions, grown), grown
+
+
+def documented(nodes: DataFrame, cache: DataFrame, provider: Callable[[Column, Column], Column] | None = None, least_words: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(nodes with docstring_source, the cache with what was generated). Functions without a docstring get a generated one, in doc and in the text that is embedded."""
+    functions = nodes.filter("type = 'FUNCTION'").select("node_id", "name", "chunk", F.col("doc").alias("docstring"), "body_hash")
+    known, grown = with_generated_docs(functions, cache, provider, least_words)
+    told = known.filter("docstring_source = 'auto'").select("node_id", F.col("docstring").alias("__doc"))
+    own = nodes.join(told, "node_id", "left")
+    own_doc = F.coalesce("doc", F.lit("")) != ""
+    source = F.when(F.col("__doc").isNotNull(), "auto").when(own_doc, "native").otherwise("none")
+    text = T.embedding_text(F.col("type"), F.col("name"), F.col("class_name"), F.array().cast("array<string>"), F.col("__doc"))
+    told_text = F.when(F.col("__doc").isNotNull() & F.col("text").isNotNull(), text).otherwise(F.col("text"))
+    rest = [c for c in nodes.columns if c not in ("doc", "text")]
+    return own.select(*rest, F.coalesce("__doc", "doc").alias("doc"), told_text.alias("text"), source.alias("docstring_source")), grown
+
+
+def name_vectors(nodes: DataFrame, before: DataFrame | None, embedder: Callable[[Column], Column]) -> DataFrame:
+    """(name, vector) of the names of nodes, a row each: those of before(name, vector) where there is one, else the embedder's."""
+    names = nodes.select(F.trim("name").alias("name")).filter("name != ''").distinct()
+    if before is None:
+        return names.withColumn("vector", embedder(F.col("name")))
+    old = before.filter("vector is not null").groupBy("name").agg(F.first("vector").alias("vector"))
+    kept = names.join(old, "name", "left")
+    return kept.filter("vector is not null").unionByName(kept.filter("vector is null").select("name").withColumn("vector", embedder(F.col("name"))))
