@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import models
+from graphloom.functions import text as T
 from graphloom.jobs.queries import ORACLES, _asked, _grep_sql, _vectors, query
 from graphloom.jobs.source_queries import program
-from graphloom.jobs.tables import CENTRAL_SQL, graph, ranked_nodes
+from graphloom.jobs.tables import CENTRAL_SQL, NODES_SQL, graph, nodes, ranked_nodes, read
 from graphloom.operators import answer as A
 from graphloom.operators import delta as D
+from graphloom.operators import graph as G
 from graphloom.operators import search as S
 
 #: A part's vector is the one with its number, if there is one; every hundredth vector asks.
@@ -48,6 +51,30 @@ def call_chain_ranked(spark, d):
     return A.chains(n, graph(spark, d)[1], _anchors(n), _asks(spark, d)).select("anchor", "step", "role", "node_id")
 
 
+#: Chains of all nodes as if they had been asked for: a number for each part size, ranked by key.
+@query(f"""WITH {CENTRAL_SQL}, sides AS (SELECT dst AS anchor, 'caller' AS role, src AS node_id FROM edges UNION ALL SELECT src, 'callee', dst FROM edges),
+best AS (SELECT anchor, role, node_id FROM sides JOIN central USING (node_id) QUALIFY row_number() OVER (PARTITION BY anchor, role ORDER BY call_centrality DESC, node_id) = 1),
+asked AS (SELECT nodes.node_id AS anchor, 1 AS block, p_size AS no, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS rank FROM nodes JOIN part ON p_partkey = node_ord),
+f AS (SELECT block, no, rank, role, name, (node_ord // 10) || ':' || (node_ord // 10 + 2) || ':' || file_path AS cite FROM (SELECT block, no, rank, 'anchor' AS role, anchor AS node_id FROM asked UNION ALL SELECT block, no, rank, role, node_id FROM asked JOIN best USING (anchor)) JOIN nodes USING (node_id)),
+c AS (SELECT *, CASE role WHEN 'anchor' THEN 1 WHEN 'caller' THEN 3 ELSE 4 END AS place FROM f),
+new AS (SELECT block, no, rank, place, name || ': ' || cite AS line FROM c QUALIFY row_number() OVER (PARTITION BY cite ORDER BY block, no, rank, place, name) = 1),
+g AS (SELECT block, no, rank, max(CASE role WHEN 'anchor' THEN name END) AS anchor, max(CASE role WHEN 'caller' THEN name END) AS caller, max(CASE role WHEN 'callee' THEN name END) AS callee FROM f GROUP BY ALL),
+t AS (SELECT g.block, g.no, g.rank, concat_ws(' -> ', caller, anchor || ' (anchor)', callee) AS line FROM g LEFT JOIN (SELECT * FROM new WHERE place = 1) n ON n.block = g.block AND n.no = g.no AND n.rank = g.rank WHERE caller IS NOT NULL OR callee IS NOT NULL OR n.line IS NOT NULL)
+SELECT block, no, rank, place, line FROM new UNION ALL SELECT block, no, rank, 2, line FROM t QUALIFY row_number() OVER (PARTITION BY line ORDER BY block, no, rank) = 1""")
+def results_markdown(spark, d):
+    """The lines of an answer, each cite and each flow where it occurs first."""
+    from pyspark.sql import Window
+
+    n, e = graph(spark, d)
+    near = G.call_neighbours(e, n.select(F.col("node_id").alias("anchor"))).join(G.call_centrality(n, e).select("node_id", "call_centrality"), "node_id")
+    best = G.ranked(near, ["anchor", "side"], F.desc("call_centrality"), F.col("node_id"), n=1).select("anchor", F.col("side").alias("role"), "node_id")
+    sizes = read(spark, d, "part").select(F.col("p_partkey").alias("node_ord"), F.col("p_size").alias("no"))
+    asked = n.join(sizes, "node_ord").select(F.col("node_id").alias("anchor"), F.lit(1).alias("block"), "no", F.row_number().over(Window.partitionBy("no").orderBy("node_ord")).alias("rank"))
+    chain = asked.join(best, "anchor").select("block", "no", "rank", "role", "node_id").unionByName(asked.select("block", "no", "rank", F.lit("anchor").alias("role"), F.col("anchor").alias("node_id")))
+    line = F.floor(F.col("node_ord") / 10)
+    return A.told(chain.join(n.select("node_id", "name", T.cite(line, line + 2, F.col("file_path")).alias("cite")), "node_id"))
+
+
 _SYMBOLS = ["steel_1", "brand_2.green", "brand_7::small_ring", "zzz.qqq"]
 _EXPANDED = [("steel_1", "steel_1", 1.0)] + [(w, t, x) for w, o, m in (("brand_2.green", "brand_2", "green"), ("brand_7::small_ring", "brand_7", "small_ring"), ("zzz.qqq", "zzz", "qqq")) for t, x in ((w, 1.0), (m, 0.85), (f"{o} {m}", 0.8), (o, 0.35))]
 
@@ -61,6 +88,17 @@ def grep_symbol_aware(spark, d):
     return S.symbol_grep(ranked_nodes(spark, d), terms).withColumn("fused", F.round("fused", 6))
 
 
+@query(f"""WITH {NODES_SQL}, w AS (SELECT node_id, unnest(regexp_extract_all(lower(grep_text), '[a-z0-9_]+')) AS w FROM nodes),
+t AS (SELECT node_id, w AS token FROM w UNION ALL SELECT node_id, p FROM (SELECT node_id, unnest(string_split(w, '_')) AS p FROM w WHERE contains(w, '_')) WHERE p <> ''),
+h AS (SELECT node_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS place, CASE WHEN substr(md5(token), 9, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE -1 END AS sign FROM t),
+s AS (SELECT node_id, place, CAST(sum(sign) AS DOUBLE) AS x FROM h GROUP BY ALL)
+SELECT node_id, CAST(place AS INT) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY node_id)), 5) AS weight FROM s WHERE x <> 0""")
+def embedded_nodes(spark, d):
+    """Vectors of all nodes by the default model, which each worker loads once; places with a weight as rows."""
+    vectors = nodes(spark, d).select("node_id", models.embedder()(F.col("grep_text")).alias("v"))
+    return vectors.select("node_id", F.posexplode("v").alias("place", "w")).filter("w != 0").select("node_id", "place", F.round(F.col("w").cast("double"), 5).alias("weight"))
+
+
 @query(ORACLES["graph_edges"])
 def incremental_edges(spark, d):
     """The program's edges after a sync from an older state: some files were not there, some were other, one is gone."""

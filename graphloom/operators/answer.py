@@ -111,6 +111,43 @@ def matches(
     return named.select("block", "no", "rank", "role", "node_id", F.coalesce("name", T.short_name(F.col("node_id"))).alias("name"), F.coalesce("cite", F.lit("")).alias("cite"))
 
 
+def told(found: DataFrame) -> DataFrame:
+    """(block, no, rank, place, line): the lines of the rows of ``matches`` that an answer tells, in order of the first four columns.
+
+    Place 1 is the anchor, 2 the flow, 3 the caller, 4 the callee. A cite is told where it occurs first. A flow is told where it
+    occurs first among those that have a neighbour or a newly told anchor. Both are least positions by key, added up before
+    the exchange, so an often cited function is no hot group.
+    """
+    at = ["block", "no", "rank"]
+    place = F.when(F.col("role") == "anchor", 1).when(F.col("role") == "caller", 3).when(F.col("role") == "callee", 4)
+    cited = found.filter("coalesce(cite, '') != ''").select(*at, place.alias("place"), "name", "cite").filter("place is not null")
+    new = cited.groupBy("cite").agg(F.min(F.struct(*at, "place", "name")).alias("x")).select("x.*", "cite")
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("name")))
+    flows = found.groupBy(*at).agg(of("anchor").alias("anchor"), of("caller").alias("caller"), of("callee").alias("callee"))
+    around = [T.blank_to_null(F.col(c)) for c in ("caller", "callee")]
+    flow = F.concat_ws(" -> ", around[0], F.concat(F.coalesce("anchor", F.lit("")), F.lit(" (anchor)")), around[1])
+    fresh = new.filter("place = 1").select(*at, F.lit(True).alias("fresh"))
+    tried = flows.join(fresh, at, "left").filter(around[0].isNotNull() | around[1].isNotNull() | F.coalesce("fresh", F.lit(False)))
+    first = tried.groupBy(flow.alias("line")).agg(F.min(F.struct(*at)).alias("x")).select("x.*", F.lit(2).alias("place"), "line")
+    return new.select(*at, "place", F.concat_ws(": ", "name", "cite").alias("line")).unionByName(first)
+
+
+def told_markdown(found: DataFrame, terms: int, queries: int) -> str:
+    """The same text as ``markdown``, of which only what is told reaches the driver."""
+    lines = told(found).orderBy("block", "no", "rank", "place").collect()
+    asked = {(r.block, r.no) for r in found.select("block", "no").distinct().collect()}
+    text = ["## Search", ""]
+    for block, label, n in ((1, "grep", terms), (2, "searchQuery", queries)):
+        for no in range(1, n + 1):
+            own = [r for r in lines if (r.block, r.no) == (block, no)]
+            if own or (block, no) not in asked:
+                text.append(f"{label}#{no}:")
+                for k, r in enumerate(own):
+                    text += ["", r.line] if k and r.rank != own[k - 1].rank else [r.line]
+                text += [""] if own else ["(no matches)", ""]
+    return "\n".join(text).rstrip()
+
+
 def markdown(found: list[Row], terms: int, queries: int) -> str:
     """The answer as text, from the rows of ``matches`` (a few for each term and query asked). A cite or a flow that has been told is not told again."""
     told: set[str] = set()

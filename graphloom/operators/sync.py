@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.sources.store import stored
+from graphloom.sources.workspace import dealt
 
 
 def changes(tracked: DataFrame, current: DataFrame) -> DataFrame:
@@ -54,8 +55,12 @@ def with_generated_docs(functions: DataFrame, cache: DataFrame, provider: Callab
         return known, cache
     asked = functions.join(known.filter("docstring_source = 'none' and coalesce(body_hash, '') != ''").select("node_id"), "node_id", "left_semi")
     asked = asked.filter("coalesce(name, '') != '' and coalesce(chunk, '') != ''").groupBy("body_hash").agg(F.min(F.struct("name", "chunk")).alias("x"))
-    said = asked.select("body_hash", T.one_sentence(provider(F.col("x.name"), F.col("x.chunk"))).alias("doc")).filter(F.size(F.filter(F.split("doc", "\\s+"), lambda w: w != "")) >= least_words)
-    grown = cache.select("body_hash", "doc").unionByName(stored(said, "generated"))
+    # Few bytes, but each takes its time: as many tasks as a shuffle has parts share them.
+    asked = dealt(asked, "body_hash")
+    # Stored as it was said: a condition on it would have Spark ask once for the condition and once for the row.
+    said = stored(asked.select("body_hash", provider(F.col("x.name"), F.col("x.chunk")).alias("said")), "said")
+    sentence = said.select("body_hash", T.one_sentence(F.col("said")).alias("doc"))
+    grown = cache.select("body_hash", "doc").unionByName(sentence.filter(F.size(F.filter(F.split("doc", "\\s+"), lambda w: w != "")) >= least_words))
     return with_cached_docs(functions, grown), grown
 
 

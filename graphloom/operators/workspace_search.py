@@ -75,6 +75,4 @@ def search(spark: SparkSession, root: str, queries: list[str], terms: list[str]
     at = f"{folder or store.shared_folder(spark)}/{store.graph_key(root)}"
     tables = refresh(files if files is not None else scan(spark, root), at, embed, provider)
     terms = terms or []
-    # A few rows for each query and term.
-    rows = found(tables, queries, terms, embed, scorer).collect() if any(x and x.strip() for x in [*queries, *terms]) else []
-    return A.markdown(rows, len(terms), len(queries))
+    return A.told_markdown(store.stored(found(tables, queries, terms, embed, scorer), "found"), len(terms), len(queries))
