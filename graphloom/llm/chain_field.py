@@ -7,8 +7,10 @@ A document's language is the one with the highest mean marginal over its words w
 
 ``label_words`` gives the words' own labels.
 
-The field is fitted to code-switched sequences that are joined from spans of at most ``MAX_DOCS`` documents for each of
-the ``MAX_LANGUAGES`` most frequent languages, those whose hash is lowest. Texts of a batch go through forward-backward in step; scores of words are remembered in bounded memory.
+The field is fitted, in one task, to code-switched sequences that are joined from spans of at most ``MAX_DOCS`` documents
+for each language, those whose hash is lowest. What the field takes on a worker, and the sample, grow with the number of
+languages, of which none is left out, and with nothing else. Texts of a batch go through forward-backward in step; scores
+of words are remembered in bounded memory.
 
 Defined results. Null, empty and letterless texts: ``und`` with score 0. Rows with a null language teach nothing;
 if no row can be learned from, everything is ``und``. Repeated rows each have a result. An empty table gives an
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
+from graphloom.llm.common import written
 from graphloom.llm.nb_svm import held_out
 
 DIM = 1 << 16
 GRAMS = (1, 2, 3, 4, 5)
 MAX_DOCS = 400
-MAX_LANGUAGES = 1000
 LEXICON = 4000
 MEMORY_WORDS = 300_000
 UNKNOWN = "und"
@@ -189,20 +191,30 @@ def train(spans: list[tuple[str, list[str]]], sequences: int = 3000, epochs: int
     return Field(languages, lexicon, weights, np.exp(transition))
 
 
+def _train(batches):
+    spans = [(lang, split(part)) for batch in batches for lang, part in zip(batch.column("lang").to_pylist(), batch.column("part").to_pylist(), strict=True)]
+    if (field := train(spans)) is not None:
+        hashes, ranks = field.lexicon
+        parts = [pa.array([field.languages]), pa.array([hashes.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([ranks.tolist()], pa.list_(pa.int64())), pa.array([field.weights.tobytes()]), pa.array([field.transition.tobytes()])]
+        yield pa.record_batch(parts, ["languages", "hashes", "ranks", "weights", "transition"])
+
+
 def split(text: str) -> list[str]:
     return text.lower().split()
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, span_words: int = 120, max_languages: int = MAX_LANGUAGES) -> Field | None:
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, span_words: int = 120) -> Field | None:
     """A field from documents that are not held out and have a language: at most max_docs for each."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    # A row for each language, as the field has.
+    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     if not counts:
         return None
     span = 1 << 30
     # Somewhat more than max_docs documents a language are put in order.
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(span * min(1.0, (1.2 * max_docs + 50) / n)))) for lang, n in counts.items()], F.lit(0))
+    shares = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(span * min(1.0, (1.2 * max_docs + 50) / n)))]
+    share = F.element_at(F.create_map(*shares), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))
     chosen = own.withColumn("place", place).filter(F.col("place") < share)
     # A long text teaches with one span of its words, from anywhere in it.
@@ -211,7 +223,13 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, span_words: int = 120, max_la
     spans = chosen.select("lang", "place", "doc_id", words.alias("w")).filter(F.size("w") > 0).select("lang", "place", "doc_id", F.array_join(F.slice("w", first, F.lit(span_words)), " ").alias("part"))
     order = Window.partitionBy("lang").orderBy("place", "doc_id", "part")
     spans = spans.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_docs)
-    return train([(r[0], split(r[1])) for r in spans.select("lang", "part").collect()])
+    taught = written(spans.select("lang", "part"), "spans")
+    found = taught.coalesce(1).mapInArrow(_train, "languages array<string>, hashes array<long>, ranks array<long>, weights binary, transition binary").first()
+    if found is None:
+        return None
+    k = len(found["languages"])
+    lexicon = np.array(found["hashes"], np.int64).view(np.uint64), np.array(found["ranks"], np.int64)
+    return Field(list(found["languages"]), lexicon, np.frombuffer(found["weights"]).reshape(-1, k), np.frombuffer(found["transition"]).reshape(k, k))
 
 
 class Labeller:

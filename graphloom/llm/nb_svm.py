@@ -5,9 +5,9 @@ punctuation, digits, length, repetition of the word before), hashed to ``DIM`` c
 shapes in steps. Class log-count ratios scale the indicators, and a linear hinge-loss model is fitted to them by
 dual coordinate descent.
 
-The fit uses at most ``max_rows`` labelled rows, those whose hash of doc_id is lowest, and of a longer one
-``MAX_COLUMNS`` of its features, those whose hash is lowest; it runs in one task of that bounded size. Ratios and
-weights have ``DIM`` entries at any size of the corpus. Scoring reads every whole text once and shuffles nothing.
+The fit uses at most ``max_rows`` labelled rows, those whose hash of doc_id is lowest, with all their features, of
+which there are ``DIM`` at most; it runs in one task of that bounded size. Ratios and weights have ``DIM`` entries at
+any size of the corpus. Scoring reads every whole text once and shuffles nothing.
 
 Defined results. Null and empty texts have no n-grams and get the score of that. Labels that contradict each other
 for a doc_id count as the lower, and of texts that share a doc_id the least teaches; null labels, and labels without
@@ -30,7 +30,6 @@ from graphloom.llm.common import written
 
 DIM = 1 << 18
 MAX_ROWS = 12_000
-MAX_COLUMNS = 8192
 _CLASS = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b >= 128 else 3 if 48 <= b <= 57 else 0 if b in (9, 10, 11, 12, 13, 32) else 4 for b in range(256)], np.uint8)
 
 
@@ -107,7 +106,6 @@ def _featurise(batches):
     for batch in batches:
         for lo, hi, data, offsets in tk.chunks(batch.column("text")):
             rows = features(data, offsets)
-            rows = [r if len(r) <= MAX_COLUMNS else np.sort(r[np.argsort(tk.mix(r.astype(np.uint64)), kind="stable")[:MAX_COLUMNS]]) for r in rows]
             yield pa.record_batch([batch.column("label").slice(lo, hi - lo), tk.list_array(np.concatenate(rows), np.array(list(map(len, rows))), pa.int32())], ["label", "columns"])
 
 
