@@ -23,6 +23,16 @@ def embedding_text(kind: Column, name: Column, owner: Column, bases: Column, doc
     )
 
 
+def text_to_embed(text: Column, chunk: Column) -> Column:
+    """What a node's vector stands for: its text, or its source where it has none; null where it has neither."""
+    return blank_to_null(strip(F.coalesce(blank_to_null(text), chunk)))
+
+
+def line_count(source: Column) -> Column:
+    """Lines of a source as an editor counts them: an empty one has none, and what follows the last line end is one more."""
+    return F.when(F.coalesce(source, F.lit("")) != "", F.size(F.split(source, "\n"))).otherwise(0)
+
+
 def grep_text(name: Column, signature: Column, path: Column, text: Column) -> Column:
     return strip(F.concat_ws("\n", *map(blank_to_null, (name, signature, path, text))))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import models
 from graphloom.functions import text as T
-from graphloom.jobs.queries import ORACLES, _asked, _grep_sql, _vectors, query
+from graphloom.jobs.queries import _TERMS, ORACLES, _asked, _grep_sql, _vectors, query
 from graphloom.jobs.source_queries import program
 from graphloom.jobs.tables import CENTRAL_SQL, NODES_SQL, graph, nodes, ranked_nodes, read
 from graphloom.operators import answer as A
@@ -75,6 +75,46 @@ def results_markdown(spark, d):
     return A.told(chain.join(n.select("node_id", "name", T.cite(line, line + 2, F.col("file_path")).alias("cite")), "node_id"))
 
 
+@query(f"""WITH {_grep_sql(_TERMS)}, hits AS (SELECT term, node_id, score, 'literal' AS mode, 1 AS rank FROM best UNION ALL SELECT term, node_id, score, 'fuzzy', rank FROM fuz WHERE rank <= 3)
+SELECT hits.term, hits.node_id, round(hits.score, 4) AS score, mode, rank, type, file_path, name, signature, CAST(node_ord // 10 AS BIGINT) AS start_line, CAST(node_ord // 10 + 2 AS BIGINT) AS end_line FROM hits JOIN nodes USING (node_id)""")
+def search_hits(spark, d):
+    """Results of a search as they are shown."""
+    own = ranked_nodes(spark, d)
+    hits = S.grep(own, spark.createDataFrame([(t,) for t in _TERMS], "term string")).drop("node_ord")
+    line = F.floor(F.col("node_ord") / 10)
+    return A.described(hits, own.withColumn("start_line", line).withColumn("end_line", line + 2))
+
+
+@query(f"WITH {NODES_SQL} SELECT DISTINCT file_path FROM nodes JOIN part ON p_partkey = node_ord WHERE p_size > 5")
+def tracked_files(spark, d):
+    part = read(spark, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("node_ord"))
+    return G.tracked_files(nodes(spark, d).join(part, "node_ord", "left_semi"))
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN len(string_split(text, chr(10))) ELSE 0 END AS lines FROM documents")
+def line_counts(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.line_count(F.col("text")).cast("long").alias("lines"))
+
+
+#: What a query asks for in words: the first eight words of the document with the vector's number.
+_ASKED_WORDS = "array_to_string(list_filter(string_split(text, ' '), lambda x: x <> '')[1:8], ' ')"
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS no, x.vec_id AS node_id, list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings x JOIN documents ON doc_id = x.vec_id, embeddings q WHERE q.vec_id % 100 = 0),
+a AS (SELECT no, node_id, sim FROM s WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY no ORDER BY round(sim, 9) DESC, node_id) <= 50),
+k AS (SELECT no, node_id, text, round(0.7 * sim + 0.3 * (CASE WHEN contains(lower(source), 'src1') OR contains(lower(lang), 'src1') THEN 3 WHEN contains(lower(text), 'src1') THEN 2 ELSE 0 END / 3.0), 9) AS score FROM a JOIN documents ON doc_id = node_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, node_id) AS was FROM k QUALIFY was <= 20),
+w AS (SELECT r.no, node_id, score, was, list_distinct(regexp_extract_all(lower(q.query), '[a-z0-9_]+')) AS asked, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS has FROM r JOIN (SELECT doc_id, {_ASKED_WORDS} AS query FROM documents) q ON q.doc_id = r.no)
+SELECT no, node_id, round(score, 6) AS score, row_number() OVER (PARTITION BY no ORDER BY CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, has)) / len(asked) ELSE 0 END DESC, was) AS rank FROM w QUALIFY rank <= 2""")
+def hybrid_reranked(spark, d):
+    """50 by similarity, 20 of them by the blend with keywords, 2 of these by a scorer that reads query and passage."""
+    docs = read(spark, d, "documents").withColumnRenamed("doc_id", "node_id")
+    own = docs.join(_vectors(spark, d).withColumnRenamed("id", "node_id"), "node_id").select("node_id", "vector", F.col("source").alias("name"), F.col("lang").alias("signature"), F.col("text").alias("passage"), F.lit("").alias("grep_text"))
+    words = F.array_join(F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 8), " ")
+    queries = _asked(spark, d).select(F.col("qid").alias("no"), F.col("query").alias("vector")).join(docs.select(F.col("node_id").alias("no"), words.alias("query")), "no")
+    return A.semantic(own, queries, A.lexical, ["src1"]).withColumn("score", F.round("score", 6))
+
+
 _SYMBOLS = ["steel_1", "brand_2.green", "brand_7::small_ring", "zzz.qqq"]
 _EXPANDED = [("steel_1", "steel_1", 1.0)] + [(w, t, x) for w, o, m in (("brand_2.green", "brand_2", "green"), ("brand_7::small_ring", "brand_7", "small_ring"), ("zzz.qqq", "zzz", "qqq")) for t, x in ((w, 1.0), (m, 0.85), (f"{o} {m}", 0.8), (o, 0.35))]
 

@@ -111,6 +111,12 @@ def matches(
     return named.select("block", "no", "rank", "role", "node_id", F.coalesce("name", T.short_name(F.col("node_id"))).alias("name"), F.coalesce("cite", F.lit("")).alias("cite"))
 
 
+def described(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hits(node_id, score, mode, ...) as results are shown: with type, file_path, name, signature and lines, the score to four digits."""
+    facts = nodes.select("node_id", "type", "file_path", "name", F.coalesce("signature", F.lit("")).alias("signature"), "start_line", "end_line")
+    return hits.join(facts, "node_id").withColumn("score", F.round("score", 4))
+
+
 def told(found: DataFrame) -> DataFrame:
     """(block, no, rank, place, line): the lines of the rows of ``matches`` that an answer tells, in order of the first four columns.
 

@@ -44,6 +44,11 @@ def folder_tree(files: DataFrame) -> DataFrame:
     return folders.unionByName(members)
 
 
+def tracked_files(nodes: DataFrame) -> DataFrame:
+    """(file_path) of files that define something."""
+    return nodes.filter("coalesce(file_path, '') != ''").select("file_path").distinct()
+
+
 def call_neighbours(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(anchor, side, node_id): callers and callees one step from anchors(anchor). A function that calls itself is both."""
     calls = edges.filter("relationship = 'CALLS'").select("src", "dst")

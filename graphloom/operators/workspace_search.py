@@ -41,6 +41,7 @@ def refreshed(files: DataFrame, tables: dict[str, DataFrame] | None, embedder: E
         graph = D.kept(D.synced(now, tables["tracked"], D.Graph(*(tables[name] for name in D.Graph._fields))))
         docs = tables["docs"]
     nodes, docs = Y.documented(graph.nodes, docs, provider)
+    nodes = nodes.withColumn("text", F.when(F.col("file_path").isNotNull(), T.text_to_embed(F.col("text"), F.col("chunk"))))
     with_vectors = Y.embedded(nodes, tables and tables["searchable"], embedder)
     searchable = G.call_centrality(with_vectors, graph.edges).withColumn("grep_text", T.grep_text(F.col("name"), F.col("signature"), F.col("file_path"), F.col("text")))
     passage = K.rerank_passage(F.col("chunk"), F.col("text"), F.col("class_name"), F.col("file_path"))
