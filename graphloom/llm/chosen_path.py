@@ -147,7 +147,7 @@ def _rows_out(doc: np.ndarray, node: np.ndarray, signatures: np.ndarray, row: np
 
 
 def _grow(trees: int):
-    """Children of (doc_id, node, signature) rows; of each tree's root where there is no node yet (trees > 0)."""
+    """Children of (doc_id, nodes, signature) rows, whose nodes are a list; of each tree's root where there are no nodes yet (trees > 0)."""
 
     def run(batches):
         for batch in batches:
@@ -155,10 +155,17 @@ def _grow(trees: int):
                 part = batch.slice(lo, 2000)
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)
                 signatures = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                roots = [np.full(len(doc), tk.mix_int(1000 + t), np.uint64) for t in range(trees)] or [part.column("node").to_numpy(zero_copy_only=False).view(np.uint64)]
-                for node in roots:
-                    row, child = _branch(node, signatures)
-                    yield _rows_out(doc, child, signatures, row)
+                if trees:
+                    for t in range(trees):
+                        row, child = _branch(np.full(len(doc), tk.mix_int(1000 + t), np.uint64), signatures)
+                        yield _rows_out(doc, child, signatures, row)
+                else:
+                    nodes, offsets = tk.list_parts(part.column("nodes"))
+                    of_doc = np.repeat(np.arange(len(doc)), np.diff(offsets))
+                    for k in range(0, len(nodes), 8000):
+                        own = of_doc[k : k + 8000]
+                        row, child = _branch(nodes[k : k + 8000].astype(np.int64).view(np.uint64), signatures[own])
+                        yield _rows_out(doc, child, signatures, own[row])
 
     return run
 
@@ -350,7 +357,9 @@ def candidates(signatures: DataFrame, trees: int, leaf: int, depth: int) -> tupl
         if not more:
             break
         if level < depth:
-            rows = written(big.select("doc_id", "node").join(signatures.select("doc_id", "signature"), "doc_id").mapInArrow(_grow(0), rows_schema), "children")
+            # A set meets its signature once, with all its nodes: a number of them that trees and levels bound.
+            of_set = big.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
+            rows = written(of_set.join(signatures.select("doc_id", "signature"), "doc_id").mapInArrow(_grow(0), rows_schema), "children")
     # Few sets meet in many trees: such nodes are one.
     return found.distinct(), big if more else None
 
