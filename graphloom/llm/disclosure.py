@@ -103,35 +103,55 @@ def entity_texts(found: DataFrame) -> DataFrame:
     return texts.select("key", "copies", "masked", F.expr(f"array_distinct(transform(base, b -> {entity('b')}))").alias("entities"))
 
 
-def text_terms(texts: DataFrame) -> DataFrame:
-    """(key, entity, copies, value, term): the entities of each text against its distinct words, for entities that enough texts hold to support a term."""
+#: Different words of a text that meet its classes in one task.
+WORDS_AT_ONCE = 4096
+
+
+def text_words(texts: DataFrame) -> DataFrame:
+    """texts with values (the distinct words of the masked text), terms (these in lower case) and more (tasks that share them, less one)."""
+    values = F.array_distinct(F.expr(f"regexp_extract_all(masked, {_quoted(TERM)}, 0)"))
+    own = texts.withColumn("values", values).withColumn("terms", F.array_distinct(F.transform("values", F.lower)))
+    return own.withColumn("more", F.expr(f"size(terms) div {WORDS_AT_ONCE}"))
+
+
+def classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class, n_entity) and (key, class)): entities that the same texts hold, SUPPORT of them or more, are one class, by a digest of the texts' keys.
+
+    The entities of a class have the same counts with every term, so a list of addresses that occurs as a whole costs one row a text.
+    """
     held = texts.select("key", "copies", F.explode("entities").alias("entity"))
-    held = held.join(held.groupBy("entity").count().filter(F.col("count") >= SUPPORT).select("entity"), "entity")
-    values = texts.select("key", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(masked, {_quoted(TERM)}, 0)"))).alias("value"))
-    return held.join(values, "key").withColumn("term", F.lower("value"))
-
-
-def disclosing(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of at least GENERALISE; docs: doc_id, text; texts: from entity_texts."""
-    # A text's copies count as documents, and the text once as support.
-    each = text_terms(texts).select("key", "copies", "entity", "term").distinct()
-    together = each.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
-    of_entity = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)"))).alias("term"))
+    digest = F.sha2(F.concat_ws(" ", F.count("*"), F.sum(F.xxhash64("key").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("key", F.lit(1)))), 256)
+    of_entity = held.groupBy("entity").agg(digest.alias("class"), F.count("*").alias("n"), F.sum("copies").alias("n_entity")).filter(F.col("n") >= SUPPORT)
+    of_text = held.select("key", "entity").join(of_entity.select("entity", "class"), "entity").select("key", "class").distinct()
+    return of_entity.groupBy("class").agg(F.first("n_entity").alias("n_entity")), of_text
+
+
+def disclosing(docs: DataFrame, texts: DataFrame, of_class: DataFrame, of_text: DataFrame) -> DataFrame:
+    """(class, term, disclosure) of at least GENERALISE; docs: doc_id, text; texts: from text_words; the others: from classes."""
+    # A text's copies count as documents, and the text once as support. Words of fewer texts support nothing.
+    terms = texts.select("key", "more", F.explode("terms").alias("term"))
+    common = terms.groupBy("term").count().filter(F.col("count") >= SUPPORT).select("term")
+    dealt = terms.join(common, "term").select("key", "term", F.pmod(F.xxhash64("term"), F.col("more") + 1).alias("part"))
+    sides = of_text.join(texts.select("key", "copies", "more"), "key").select("key", "copies", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more").cast("long"))).alias("part"))
+    each = sides.join(dealt, ["key", "part"])
+    together = each.groupBy("class", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.array_distinct(F.expr(f"regexp_extract_all(text, {_quoted(TERM)}, 0)")), F.lower))).alias("term"))
     of_term = words.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_term"))
-    candidates = together.join(of_entity, "entity").withColumn("h", F.xxhash64("term"))
     total = docs.count()
-    counted = candidates.join(of_term, "h")
+    counted = together.join(of_class, "class").withColumn("h", F.xxhash64("term")).join(of_term, "h")
     pmi = F.ln(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     content = F.ln(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    return counted.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return counted.select("class", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """key, extra: the method's spans of each text that has any, sorted; rank 4 is generalised, 5 removed."""
-    texts = written(entity_texts(found), "entity-texts")
-    pairs = written(disclosing(docs, texts), "disclosing")
-    hit = text_terms(texts).join(pairs, ["entity", "term"]).groupBy("key", "value").agg(F.max("disclosure").alias("disclosure"))
+    texts = written(text_words(entity_texts(found)), "entity-texts")
+    of_class, of_text = (written(df, "classes") for df in classes(texts))
+    pairs = written(disclosing(docs, texts, of_class, of_text), "disclosing")
+    told = of_text.join(pairs, "class").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    values = texts.select("key", F.explode("values").alias("value")).withColumn("term", F.lower("value"))
+    hit = written(told.join(values, ["key", "term"]).select("key", "value", "disclosure"), "hits")
     # Only the words that a text loses are looked for in it: whole runs of letters, which need no quoting.
     wanted = hit.groupBy("key").agg(F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array(F.collect_list("value")), "|"), F.lit(r")(?!\p{L})")).alias("pattern")).join(texts.select("key", "masked"), "key")
     parts = F.expr("zip_with(split(masked, pattern, -1), regexp_extract_all(masked, pattern, 0), (g, m) -> named_struct('g', length(g), 'value', m))")

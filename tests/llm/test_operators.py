@@ -201,6 +201,30 @@ def test_terms_that_disclose_far_from_the_mention(spark):
     assert "orblax" not in disclosure.sanitise(table(spark, rows)).filter("doc_id = 0").first().text
 
 
+def test_long_lists_of_addresses_in_long_texts(spark):
+    """Two texts of 400 addresses and 3,000 words each: the addresses are one class, which meets the words once."""
+    names = [f"user{k}@mail.example.com" for k in range(400)]
+    shared = ["w" + "".join(chr(97 + int(c)) for c in f"{k:05d}") for k in range(3000)]
+    rows = [(k, " ".join([*shared, f"only{'ab'[k]}", *names])) for k in range(2)] + [(10 + k, "other text of no interest at all") for k in range(30)]
+    began = time.time()
+    found = {r.doc_id: (len(r.base), len(r.spans)) for r in disclosure.find(table(spark, rows)).select("doc_id", "base", "spans").collect()}
+    assert found == {0: (400, 3400), 1: (400, 3400)} | {10 + k: (0, 0) for k in range(30)} and time.time() - began < 120
+
+
+def test_classes_of_entities_equal_counts_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(disclosure, "WORDS_AT_ONCE", 3)
+    r, pool = random.Random(12), words(25, 4)
+    docs = []
+    for k in range(60):
+        group = k % 5
+        own = r.sample(pool, 9) + [f"Tell{'abcde'[group]}İx"] * (k % 2)
+        own += [f"g{group}n{j}@mail.example.com" for j in range(3)] + [f"one{k}@mail.example.com"]
+        docs.append((k, " ".join(own)))
+    docs += [(100 + k, " ".join(r.sample(pool, 12))) for k in range(60)]
+    got = {x.doc_id: x.text for x in disclosure.sanitise(table(spark, docs)).collect()}
+    assert got == sanitised_by_definition(docs)
+
+
 def test_token_files(spark, odd):
     path = tokenizer_file("word_bpe_49k.json")
     from tokenizers import Tokenizer
