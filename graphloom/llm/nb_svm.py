@@ -68,6 +68,37 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def packed(columns: np.ndarray) -> bytes:
+    """Sorted distinct columns as they are or, where that is shorter, as a bit for each of DIM: never more than DIM / 8 bytes."""
+    if 32 * len(columns) <= DIM:
+        return columns.astype("<i4").tobytes()
+    bits = np.zeros(DIM, bool)
+    bits[columns] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) == DIM // 8 + 1:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1))).astype(np.int32)
+    return np.frombuffer(raw, "<i4")
+
+
+class Rows:
+    """Feature rows to learn from, packed until they are looked at: long texts take no more memory than their bits."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw = raw
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return unpacked(self.raw[k])
+
+    def __iter__(self):
+        return map(unpacked, self.raw)
+
+
 def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     p, q = (np.full(DIM, smooth) for _ in range(2))
     for x, y in zip(rows, positive, strict=True):
@@ -106,7 +137,7 @@ def _featurise(batches):
     for batch in batches:
         for lo, hi, data, offsets in tk.chunks(batch.column("text")):
             rows = features(data, offsets)
-            yield pa.record_batch([batch.column("label").slice(lo, hi - lo), tk.list_array(np.concatenate(rows), np.array(list(map(len, rows))), pa.int32())], ["label", "columns"])
+            yield pa.record_batch([batch.column("label").slice(lo, hi - lo), pa.array(list(map(packed, rows)), pa.binary())], ["label", "columns"])
 
 
 def sample_labels(labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -131,10 +162,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.steep * out, -30, 30)))
 
 
-def learn(rows: list[np.ndarray], positive: np.ndarray) -> Model:
+def learn(rows: list[np.ndarray] | Rows, positive: np.ndarray) -> Model:
     """A model from feature rows and whether their label is 1, whatever order they come in."""
-    order = sorted(range(len(rows)), key=lambda k: (bool(positive[k]), len(rows[k]), hashlib.blake2b(rows[k], digest_size=16).digest()))
-    rows, positive = [rows[k] for k in order], positive[order]
+    def place(k: int):
+        row = rows[k]
+        return bool(positive[k]), len(row), hashlib.blake2b(row, digest_size=16).digest()
+
+    order = sorted(range(len(rows)), key=place)
+    rows, positive = Rows([rows.raw[k] for k in order]) if isinstance(rows, Rows) else [rows[k] for k in order], positive[order]
     if not len(rows) or positive.all() or not positive.any():
         known = 0.0 if not len(rows) else 10.0 if positive.all() else -10.0
         return Model(np.zeros(DIM), known, np.ones(DIM))
@@ -146,10 +181,9 @@ def learn(rows: list[np.ndarray], positive: np.ndarray) -> Model:
 def _learn(batches):
     rows, labels = [], []
     for batch in batches:
-        flat, offsets = tk.list_parts(batch.column("columns"))
-        rows += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        rows += batch.column("columns").to_pylist()
         labels += batch.column("label").to_pylist()
-    model = learn(rows, np.array(labels, np.int64) == 1)
+    model = learn(Rows(rows), np.array(labels, np.int64) == 1)
     yield pa.record_batch([pa.array([model.values.tobytes()]), pa.array([float(model.bias)]), pa.array([model.scale.tobytes()])], ["values", "bias", "scale"])
 
 
@@ -158,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     chosen = F.broadcast(sample_labels(labels, label, max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    taught = written(texts.select("text", "label").mapInArrow(_featurise, "label int, columns array<int>"), "taught")
+    taught = written(texts.select("text", "label").mapInArrow(_featurise, "label int, columns binary"), "taught")
     found = taught.coalesce(1).mapInArrow(_learn, "values binary, bias double, scale binary").first()
     if found is None:
         return learn([], np.zeros(0, bool))

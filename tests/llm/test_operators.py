@@ -684,6 +684,16 @@ def test_dual_coordinate_descent_equals_dense_steps():
         assert objective(w + rng.normal(size=dim + 1) * 10 ** rng.uniform(-4, 0)) > best * (1 - 1e-3)
 
 
+def test_long_rows_are_packed_and_teach_the_same():
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, nb_svm.DIM, n)).astype(np.int32) for n in (0, 1, 30, 8192, 9000, 60_000)]
+    raw = [nb_svm.packed(x) for x in rows]
+    assert all((nb_svm.unpacked(x) == y).all() and len(x) <= nb_svm.DIM // 8 + 1 for x, y in zip(raw, rows, strict=True))
+    positive = np.array([True, False, True, False, True, False])
+    one, two = nb_svm.learn(rows, positive), nb_svm.learn(nb_svm.Rows(raw), positive)
+    assert (one.values == two.values).all() and one.bias == two.bias and (one.scale == two.scale).all()
+
+
 def test_ratios_equal_counts():
     rows, positive = [np.array([1, 2]), np.array([2, 3]), np.array([3])], np.array([True, False, False])
     p, q = np.ones(nb_svm.DIM), np.ones(nb_svm.DIM)
