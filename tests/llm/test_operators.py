@@ -733,6 +733,56 @@ def test_token_files_prune_and_keep_their_order(spark):
     assert sorted(r.doc_id for r in token_orc.read(spark, folder, [77, 3000]).collect()) == [77, 3000]
 
 
+def encoded(texts, path):
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    return [ids for out in token_orc._encode(path, 2)(iter([batch])) for ids in out.column("ids").to_pylist()]
+
+
+def test_token_files_encode_the_pieces_of_words_once(monkeypatch):
+    path, asked = tokenizer_file("word_bpe_49k.json"), []
+
+    class Encoder(token_orc.WordEncoder):
+        def __call__(self, words):
+            asked.extend(words)
+            return super().__call__(words)
+
+    memory = token_orc.WordMemory(Encoder(token_orc._tokenizer(path)))
+    monkeypatch.setattr(token_orc, "_memory", lambda _: memory)
+    encoded(["The cat, the CAT. (Cat!)", "don't cat@the.cat"], path)
+    encoded(["the, cat.the"], path)
+    assert sorted(asked) == sorted(["the", "cat", ",", ".", "(", "!)", "don", "'t", "@"])
+
+
+def test_token_files_read_the_ids_once(spark):
+    folder = new_path(spark, "orc")
+    token_orc.write(table(spark, [(i, f"text number {i}") for i in range(100)]), folder, tokenizer_file("word_bpe_49k.json"))
+    plan = token_orc.index(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Format: ORC" not in plan and "Format: Parquet" in plan
+
+
+def test_token_files_of_odd_texts_equal_the_tokenizer(tmp_path, monkeypatch):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    r = random.Random(8)
+    parts = [*"aBsSJHIKt'.=@_1", "re", "ING", "''", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "</w>", "\u030c", "\u0301", "\u0307", "\u0331", "\u0338", "İ", "ß", "Σ", "é", " ", "  "]
+    parts += ["\n", "\t", "\r", "\0", "\x1c", "\x85", "\xa0", "\u2009", "\u200d", "½", "٣", "中文", "😀", "ﬁ", "’s", "ǅ", "\U0001d400"]
+    texts = [None, "", " ", "\n\n", *("".join(r.choices(parts, k=r.randrange(14))) for _ in range(4000))]
+    texts += [x.replace("<|endoftext|>", "e") for x in texts[4:]]
+    public = tokenizer_file("word_bpe_49k.json")
+    other = Tokenizer.from_file(public)
+    other.normalizer = None
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    for path in (public, str(tmp_path / "other.json")):
+        tokenizer = Tokenizer.from_file(path)
+        for some in (texts, texts[4004:], texts[4004:4010]):  # a text with the name of an added token keeps all that come with it whole
+            assert encoded(some, path) == [[*tokenizer.encode(x or "", add_special_tokens=False).ids, 2] for x in some]
+        small = token_orc.WordMemory(token_orc.WordEncoder(tokenizer), limit=40)
+        with monkeypatch.context() as m:
+            m.setattr(token_orc, "_memory", lambda _, small=small: small)
+            assert [encoded([x], path)[0] for x in texts[:500]] == [[*tokenizer.encode(x or "", add_special_tokens=False).ids, 2] for x in texts[:500]] and len(small.index) <= 40
+
+
 @pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_contamination", "op8_archive"])
 def test_query_equals_its_sql(spark, name):
     from oracle import actual, expected
