@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import vector as V
+from graphloom.operators import vector_grid as grid
 from graphloom.operators.blocks import in_blocks
 from graphloom.operators.graph import ranked
 from graphloom.operators.vector_index import VectorIndex, build
@@ -137,8 +138,8 @@ def _compared(items: DataFrame, queries: DataFrame) -> DataFrame:
 
 def best_similarity(items: DataFrame, queries: DataFrame) -> DataFrame:
     """items(id, vector) with the highest cosine over the queries(qid, query); 0 and less is dropped."""
-    q = queries.select("qid", V.as_double(F.col("query")).alias("query"))
-    return in_blocks(q, "qid", lambda block: _compared(items, block).groupBy("id").agg(F.max("sim").alias("sim"))).groupBy("id").agg(F.max("sim").alias("sim"))
+    own = items.filter(F.size("vector") > 0)
+    return grid.most_similar(own, queries, [], own.count()).filter("sim > 0")
 
 
 def top_similar(items: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
