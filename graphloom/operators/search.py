@@ -1,6 +1,7 @@
 """Literal, fuzzy and symbol-aware search over nodes, and similarity search over vectors. Ties always break on node order.
 
-Terms and queries are what somebody asked: they meet all nodes in blocks of at most ``blocks.ASKED``, each of which is broadcast.
+Terms are what somebody asked: they meet all nodes in blocks of at most ``blocks.ASKED``, each of which is broadcast. Queries
+are vectors, of which there may be as many as rows: they meet all others in the cells of a grid (``vector_grid``).
 Only the best rows of each task go to the exchange that ranks them (Spark limits groups before a ranking window).
 """
 
@@ -130,12 +131,6 @@ def symbol_grep(nodes: DataFrame, terms: DataFrame, n: int = 3, **how) -> DataFr
     return ranked(fused, ["whole"], F.desc("fused"), F.col("node_ord"), n=n).select(F.col("whole").alias("term"), "node_id", "fused", "rank")
 
 
-def _compared(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, sim) of all items(id, vector) with each of a block of queries(qid, query), where it is above 0."""
-    scored = items.filter(F.size("vector") > 0).withColumn("v", V.as_double(F.col("vector"))).join(queries, F.size("vector") == F.size("query"))
-    return scored.select("qid", "id", V.cosine(F.col("v"), F.col("query")).alias("sim")).filter("sim > 0")
-
-
 def best_similarity(items: DataFrame, queries: DataFrame) -> DataFrame:
     """items(id, vector) with the highest cosine over the queries(qid, query); 0 and less is dropped."""
     own = items.filter(F.size("vector") > 0)
@@ -144,5 +139,5 @@ def best_similarity(items: DataFrame, queries: DataFrame) -> DataFrame:
 
 def top_similar(items: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
     """The n items closest to each query: (qid, id, sim, rank)."""
-    q = queries.select("qid", V.as_double(F.col("query")).alias("query"))
-    return in_blocks(q, "qid", lambda block: ranked(_compared(items, block), ["qid"], F.desc(F.round("sim", 9)), F.col("id"), n=n).select("qid", "id", "sim", "rank"))
+    own = items.filter(F.size("vector") > 0)
+    return ranked(grid.top(own, queries, n), ["qid"], F.desc(F.round("sim", 9)), F.col("id"), n=n).select("qid", "id", "sim", "rank")
