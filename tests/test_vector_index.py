@@ -41,6 +41,20 @@ def test_top_similar_equals_all_pairs(spark, kind):
     assert len(set(pairs)) == len(pairs) <= len(vectors) * own.count()
 
 
+def test_slices_of_cells_and_many_queries(spark, monkeypatch):
+    """Cells cut into slices find the same; each slice hands on the best of a query, not a row for each pair."""
+    monkeypatch.setattr(I.grid, "ITEMS", 30)
+    r = random.Random(6)
+    vectors = clusters(r, 500, 5)
+    items = spark.createDataFrame(list(enumerate([*vectors, *vectors[:200]])), SCHEMA)
+    queries = items.filter("id % 3 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    index = I.build(items, 10)
+    assert index.cells.agg(F.max("slices")).first()[0] > 1
+    assert rows(I.top_similar(index, queries, 4)) == rows(S.top_similar(items, queries, 4))
+    first, found, _ = I.searched(index, queries, 4)
+    assert found.count() < first.count() / 2
+
+
 def test_index_edge_cases(spark):
     none = spark.createDataFrame([], SCHEMA)
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, query array<double>")
